@@ -1,0 +1 @@
+"""loglake: partitioned append-only logs as DataFrames. See README.md."""
