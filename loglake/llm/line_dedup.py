@@ -4,11 +4,12 @@ Lines become IDs by hash; lines that occur once can't be in a repeated run and b
 what is left are sorted by distributed prefix doubling: a suffix's rank among the first 2k lines is the order of the pair
 (its rank among the first k, the rank of the suffix k lines on). Ranks come from a range-partitioned sort of the
 distinct pairs, so a line that fills a third of the corpus is one row there; pairs that occur once leave at once.
-Suffixes that agree in their first m lines form an interval of common prefix in the suffix array. For the m that matters at a
-place (the fewest lines from there that have ``WORDS`` words), that interval is named by two ranks: that of the first
-2^j <= m lines, and that of the last 2^j of the m. In each such interval the suffix at the smallest (doc_id, line) is kept, and
-the m lines of every other are deleted. As longer repeats are covered by overlapping runs of m lines, this deletes every
-later copy of each maximal repeated run of at least ``WORDS`` words, and nothing else.
+Suffixes that agree in their first m lines form an interval of common prefix in the suffix array. For the m that matter at a
+place (the fewest lines from there on, and the fewest up to there, that have ``WORDS`` words), that interval is named by two
+ranks: that of the first 2^j <= m lines, and that of the last 2^j of the m. In each such interval the suffix at the smallest
+(doc_id, line) is kept, and the m lines of every other are deleted. A longer repeat is covered by such blocks, forward ones
+from each of its lines and a backward one from its last. So this deletes every later copy of each maximal repeated run of at
+least ``WORDS`` words, and nothing else.
 
 Results for odd input: null text stays null, empty text stays empty; blank lines are kept and don't break or extend a run; a
 run within one document may overlap itself (its first copy stays); rows with the same doc_id and text are one document and
@@ -46,12 +47,14 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
     # ids of repeated lines only, the ranks that doubling begins with
     base = scratch.write(lines.join(first, ["a", "b"]).select("doc_id", "th", "line", "pos", "w", "rank").distinct(), "repeated")
     scratch.drop(lines, first)
-    # m: the fewest lines from here, all repeated and next to each other, with enough words; at most that many lines are looked at
-    ahead = Window.partitionBy("doc_id", "th", "island").orderBy("pos").rowsBetween(0, words - 1)
+    # the fewest lines from here on, and up to here, all repeated and next to each other, with enough words; no more than that many are looked at
+    beside = Window.partitionBy("doc_id", "th", "island").orderBy("pos")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("pos"))
-    reach = base.withColumn("island", island).withColumn("_w", F.collect_list("w").over(ahead))
-    total = F.expr(f"aggregate(_w, struct(0 AS t, 0 AS m), (s, x) -> CASE WHEN s.t >= {words} THEN s ELSE struct(s.t + x AS t, s.m + 1 AS m) END)")
-    runs = reach.withColumn("_s", total).where(f"_s.t >= {words}").select("doc_id", "th", "pos", F.col("_s.m").alias("m"))
+    reach = base.withColumn("island", island).withColumn("_on", F.collect_list("w").over(beside.rowsBetween(0, words - 1)))
+    reach = reach.withColumn("_back", F.reverse(F.collect_list("w").over(beside.rowsBetween(1 - words, 0))))
+    enough = lambda ws: f"aggregate({ws}, struct(0 AS t, 0 AS m), (s, x) -> CASE WHEN s.t >= {words} THEN s ELSE struct(s.t + x AS t, s.m + 1 AS m) END, s -> CASE WHEN s.t >= {words} THEN s.m END)"
+    blocks = F.expr(f"filter(array(struct(pos AS pos, {enough('_on')} AS m), struct(pos + 1 - {enough('_back')} AS pos, {enough('_back')} AS m)), x -> x.m is not null)")
+    runs = reach.select("doc_id", "th", F.explode(F.array_distinct(blocks)).alias("_x")).select("doc_id", "th", "_x.pos", "_x.m").distinct()
     runs = scratch.write(runs, "runs")
     longest = runs.agg(F.max("m")).first()[0]
     if longest is None:
