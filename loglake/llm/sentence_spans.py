@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, at line breaks, and within a sentence
-after every ``LONGEST`` words. From each sentence on, the shortest run of consecutive sentences with at least
-``SENTENCES`` sentences and ``WORDS`` words is hashed (surrounding white space ignored). Runs are joined by hash over the
+after every ``LONGEST`` words. From each sentence on, and up to each sentence, the shortest run of consecutive sentences with
+at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (surrounding white space ignored). These runs cover every
+longer one. Runs are joined by hash over the
 whole corpus; the first is the one with the smallest (doc_id, place), and every sentence that a later one covers is
 removed.
 
@@ -54,30 +55,28 @@ def sentences(text: str, longest: int = LONGEST) -> list[str]:
     return out
 
 
-def runs(parts: list[str], n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and length in sentences of each sentence's run; length 0 where the text ends first."""
+def runs(parts: list[str], n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs from each sentence on and up to each sentence: hash, first sentence, length in sentences."""
     count = len(parts)
     h = np.fromiter((xxhash.xxh3_64_intdigest(s.strip()) for s in parts), np.uint64, count)
     total = np.concatenate([[0], np.cumsum(np.fromiter((len(s.split()) for s in parts), np.int64, count))])
     at = np.arange(count)
     end = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), at + n)
-    length = np.where(end <= count, end - at, 0)
-    out = np.zeros(count, np.uint64)
+    start = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, at + 1 - n)
+    both = np.unique(np.concatenate([(at * (count + 1) + end)[end <= count], (start * (count + 1) + at + 1)[start >= 0]]))
+    at, length = both // (count + 1), both % (count + 1) - both // (count + 1)
+    out = np.zeros(len(at), np.uint64)
     for k in range(int(length.max(initial=0))):
         live = length > k
         out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) + h[at[live] + k])
-    return out.view(np.int64), length
+    return out.view(np.int64), at.astype(np.int32), length.astype(np.int32)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             rows = batch.slice(lo, 200)
-            got = []
-            for t in rows.column(1).to_pylist():
-                h, length = runs(sentences(t or "", longest), n, words)
-                at = np.flatnonzero(length)
-                got.append((h[at], at.astype(np.int32), length[at].astype(np.int32)))
+            got = [runs(sentences(t or "", longest), n, words) for t in rows.column(1).to_pylist()]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[k] for g in got]))) for k in range(3)] if got else []
             if got:
