@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # classes of equal sets, named by their smallest document
     classes = scratch.write(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     flat = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    # a table joined with a table: only then does adaptive execution split a bucket that many classes share
+    shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
     active = scratch.write(flat.join(shared, "bucket").select("id", "bucket"), "buckets")
     # classes are compared by the text of the document that names them
     ids = active.select(F.col("id").alias("_id")).distinct()
@@ -149,10 +150,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     comps = scratch.write(ids.select(F.col("_id").alias("id"), F.col("_id").alias("comp")), "comps")
     tested, turn = None, 0
     while True:
-        now = active.join(comps, "id")
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
+        now = scratch.write(active.join(comps, "id"), "now")
+        mixed = scratch.write(now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket"), "mixed")
         left = scratch.write(now.join(mixed, "bucket").select("id", "bucket", "comp"), "active")
-        scratch.drop(active)
+        scratch.drop(active, now, mixed)
         if left.isEmpty():
             break
         n = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
