@@ -81,6 +81,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
     found = scratch.write(found, "intervals")
     place = F.struct("doc_id", "th", "pos")
     first = found.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = scratch.write(first, "first")
     copies = found.join(first, ["m", "head", "tail"]).where(place != F.col("first"))
     covered = copies.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.explode(F.expr("sequence(pos, pos + m - 1)")).alias("_p")).distinct()
     gone = base.join(covered, base["doc_id"].eqNullSafe(covered["_d"]) & (base["th"] == covered["_t"]) & (base["pos"] == covered["_p"])).select("doc_id", "th", "line")
