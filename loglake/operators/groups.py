@@ -99,3 +99,15 @@ def join_group(state: dict | None, op: dict) -> tuple[dict, str]:
                 m[k]["assignment"] = v
         s["state"] = STABLE
     return s, f"synced:{m[who]['assignment']}" if s["state"] == STABLE else "not_assigned"
+
+
+def describe(offsets_with_lag: DataFrame, members: DataFrame) -> DataFrame:
+    """A row per group: members, partitions with a committed offset, total lag."""
+    m = members.groupBy("group").agg(F.countDistinct("member").alias("members"))
+    o = offsets_with_lag.groupBy("group").agg(F.count("*").alias("partitions"), F.sum("lag").cast("long").alias("total_lag"))
+    return m.join(o, "group", "full").select("group", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("members", "partitions", "total_lag")))
+
+
+def distribute(assignments: DataFrame, members: DataFrame) -> DataFrame:
+    """The leader's assignments (group, member, assignment) for members that are there; others are ignored."""
+    return assignments.join(members.select("group", "member").distinct(), ["group", "member"])

@@ -87,3 +87,14 @@ def cold_prefix(tier: DataFrame, local: DataFrame, on: list[str]) -> DataFrame:
 def metadata(requested: DataFrame, topics: DataFrame) -> DataFrame:
     """Requested names with their topics; unknown names stay, with an error."""
     return requested.join(topics, "topic", "left").withColumn("error", F.when(F.col("partitions").isNull(), "UNKNOWN_TOPIC").otherwise("NONE"))
+
+
+def correlate(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with their responses by connection and correlation id: the first of repeated requests, unknown ids ignored."""
+    first = requests.groupBy("conn", "correlation_id").agg(F.min("sent").alias("sent"))
+    return first.join(responses, ["conn", "correlation_id"], "left")
+
+
+def entries_from(entries: DataFrame, next_index: int, most: int = 64) -> DataFrame:
+    """At most ``most`` entries of each partition from an index on; indexes have no gaps, so no sort is needed."""
+    return entries.where(F.col("index").between(next_index, next_index + most - 1))

@@ -208,3 +208,36 @@ def health_fold(spark, d):
 def group_membership_fold(spark, d):
     e = table(spark, d, "events").select("event_type", "event_id", F.col("event_type").alias("group"), micros("ts").alias("now"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(3))).alias("member"), F.lit(7_200_000_000).alias("timeout"), F.when(F.col("event_id") % 11 == 0, "leave").when(F.col("event_id") % 5 == 0, "tick").otherwise("join").alias("op"))
     return resilience.fold(e, ["event_type"], "event_id", G.join_group, "string")
+
+
+@query(f"""{COMMITTED}, g AS (SELECT event_type AS "group", count(DISTINCT user_id % 3) AS members FROM log GROUP BY ALL)
+    SELECT g."group", g.members, count(*) AS partitions, CAST(sum(greatest(hwm - c."offset", 0)) AS BIGINT) AS total_lag FROM g JOIN c ON c."group" = g."group" JOIN m ON m."partition" = c."partition" GROUP BY ALL""")
+def group_describe(spark, d):
+    log = event_log(spark, d)
+    members = log.select(F.col("event_type").alias("group"), F.pmod("user_id", F.lit(3)).alias("member"))
+    return G.describe(G.lag(G.committed(_commits(spark, d)), watermarks(log)), members)
+
+
+@query("""SELECT DISTINCT event_type AS "group", 'm' || (user_id % 3) AS member, 'p' || (user_id % 3) AS assignment FROM events""")
+def group_sync_assign(spark, d):
+    member = F.concat(F.lit("m"), F.pmod("user_id", F.lit(3)))
+    members = table(spark, d, "events").select(F.col("event_type").alias("group"), member.alias("member"))
+    given = table(spark, d, "events").select(F.col("event_type").alias("group")).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    given = given.select("group", F.concat(F.lit("m"), "_k").alias("member"), F.concat(F.lit("p"), "_k").alias("assignment"))
+    return G.distribute(given, members)
+
+
+@query("""WITH q AS (SELECT user_id % 4 AS conn, event_id // 2 AS correlation_id, min(event_id) AS sent FROM events GROUP BY ALL), r AS (SELECT user_id % 4 AS conn, event_id // 2 AS correlation_id, event_type AS reply FROM events WHERE event_id % 6 = 0)
+    SELECT q.conn, q.correlation_id, sent, reply FROM q LEFT JOIN r ON r.conn = q.conn AND r.correlation_id = q.correlation_id""")
+def request_correlation(spark, d):
+    from loglake.operators.read import correlate
+
+    e = table(spark, d, "events").select(F.pmod("user_id", F.lit(4)).alias("conn"), F.expr("event_id div 2").alias("correlation_id"), "event_id", "event_type")
+    return correlate(e.withColumnRenamed("event_id", "sent"), e.where("event_id % 6 = 0").select("conn", "correlation_id", F.col("event_type").alias("reply")))
+
+
+@query(f"""{WITH} SELECT topic, "partition", "offset" AS index, arrival FROM log WHERE "offset" BETWEEN 100 AND 163""")
+def raft_append_entries(spark, d):
+    from loglake.operators.read import entries_from
+
+    return entries_from(event_log(spark, d).select(*PLACE, F.col("offset").alias("index"), "arrival"), 100)
