@@ -3,8 +3,7 @@
 A document's set is its distinct ``SHINGLE``-word shingles (words between ASCII white space, A-Z lower-cased; a shorter
 document's whole sequence is its one shingle). Two permutations make all signature coordinates: the first spreads
 shingles over ``UNIVERSE`` places; the second, shifted circularly by k, gives coordinate k, so a shingle's values for all
-coordinates are one contiguous slice of the second. ``BANDS`` bands of ``ROWS`` coordinates make buckets; at a
-similarity of 0.85 a pair shares none with a probability of 3e-7.
+coordinates are one contiguous slice of the second. Bands of some coordinates each make buckets (``BANDING``).
 
 Documents with equal sets are one class from the start, whatever their number. In each bucket with members of several
 components, some members are drawn as pivots, one in the first rounds and more in later ones; members of other
@@ -33,10 +32,12 @@ from loglake.llm.common import Scratch, WordHash, hash_words, load, map_batches,
 
 SHINGLE = 5
 PERCENT = 80
-BANDS, ROWS = 32, 6
+#: Bands and rows by the least similarity in percent: a pair just that similar shares no band with a probability of 1e-6, and one
+#: that merely holds the same passage hardly ever shares one.
+BANDING = {85: (64, 10), 80: (76, 8), 0: (128, 4)}
 UNIVERSE = 1 << 18
-#: Pivots of a bucket in each round; the last number holds from then on, doubled each time.
-PIVOTS = (1, 1, 4, 16)
+#: Pivots of a bucket in each round; after the last number, twice as many each time.
+PIVOTS = (1, 4, 32, 256)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -132,35 +133,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, banding: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+    bands, rows = banding or next(v for k, v in BANDING.items() if percent >= k)
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = scratch.write(map_batches(texts, lambda b: _signatures(b, shingle, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     # classes of equal sets, named by their smallest document
-    classes = scratch.write(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    flat = classes.select("id", F.explode("bands").alias("bucket"))
+    classes = scratch.write(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    flat = classes.select("id", "n", F.explode("bands").alias("bucket"))
     # a table joined with a table: only then does adaptive execution split a bucket that many classes share
     shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
-    active = scratch.write(flat.join(shared, "bucket").select("id", "bucket"), "buckets")
+    active = scratch.write(flat.join(shared, "bucket").select("id", "n", "bucket"), "buckets")
     # classes are compared by the text of the document that names them
     ids = active.select(F.col("id").alias("_id")).distinct()
     involved = texts.join(ids, texts["doc_id"] == ids["_id"], "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
     involved = scratch.write(involved.select(F.col("doc_id").alias("id"), "text"), "texts")
     comps = scratch.write(ids.select(F.col("_id").alias("id"), F.col("_id").alias("comp")), "comps")
-    tested, turn = None, 0
+    tested, done, turn = None, [active], 0
     while True:
-        now = scratch.write(active.join(comps, "id"), "now")
+        now = active.join(comps, "id")
         mixed = scratch.write(now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket"), "mixed")
-        left = scratch.write(now.join(mixed, "bucket").select("id", "bucket", "comp"), "active")
-        scratch.drop(active, now, mixed)
+        left = scratch.write(now.join(mixed, "bucket").select("id", "n", "bucket", "comp"), "active")
+        scratch.drop(mixed, *done)
         if left.isEmpty():
             break
         n = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
-        draw = F.xxhash64("id", F.lit(max(0, turn - 1)))
-        pivots = left.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(n)).alias("_part")).agg(F.min(F.struct(draw.alias("_draw"), "id", "comp")).alias("_p"))
-        pivots = scratch.write(pivots.select("bucket", F.col("_p.id").alias("p"), F.col("_p.comp").alias("pc")), "pivots")
-        pairs = left.join(pivots, "bucket").where("comp <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        draw = F.xxhash64("id", F.lit(turn))
+        pivots = left.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(n)).alias("_part")).agg(F.min(F.struct(draw.alias("_draw"), "id", "n", "comp")).alias("_p"))
+        pivots = scratch.write(pivots.select("bucket", F.col("_p.id").alias("p"), F.col("_p.n").alias("pn"), F.col("_p.comp").alias("pc")), "pivots")
+        # sets whose sizes are too far apart can't be that similar: such pairs aren't made
+        pairs = left.join(pivots, "bucket").where(f"comp <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         with_a = pairs.join(involved.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -173,10 +176,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             nxt = scratch.write(comps.join(merged, comps["comp"] == merged["_c"], "left").select("id", F.coalesce("_new", "comp").alias("comp")), "comps")
             scratch.drop(comps)
             comps = nxt
-        active = scratch.write(left.join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket"), "buckets")
-        scratch.drop(left, pivots)
-        turn += 1
-    scratch.drop(left, involved)
+        active = left.join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti").select("id", "n", "bucket")
+        done, turn = [left, pivots, links], turn + 1
+    scratch.drop(left, involved, shared)
     names = classes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("_comp"))
     names = scratch.write(names, "names")
     out = every.join(names, "digest", "left")
