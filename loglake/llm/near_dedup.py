@@ -5,7 +5,8 @@ document's whole sequence is its one shingle). Two permutations make all signatu
 shingles over ``UNIVERSE`` places; the second, shifted circularly by k, gives coordinate k, so a shingle's values for all
 coordinates are one contiguous slice of the second. Bands of some coordinates each make buckets (``BANDING``).
 
-Documents with equal sets are one class from the start, whatever their number. In each bucket with members of several
+Documents with equal sets are one class from the start, whatever their number. Classes that share a band with another go on:
+they meet in buckets of their rarest shingles, of which two such similar sets share at least one. In each bucket with members of several
 components, some members are drawn as pivots, one in the first rounds and more in later ones; members of other
 components are compared with them on their full shingle sets, links merge components, and pivots, which have met
 everybody, leave. This ends when no bucket holds two components, so every pair of a bucket has been compared or is
@@ -38,6 +39,8 @@ BANDING = {85: (64, 10), 80: (76, 8), 0: (128, 4)}
 UNIVERSE = 1 << 18
 #: Pivots of a bucket in each round; after the last number, twice as many each time.
 PIVOTS = (1, 4, 32, 256)
+#: Slots of the table of shingle frequencies that orders prefixes; its size is fixed.
+SLOT_BITS = 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -116,6 +119,31 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["a", "b"])
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    table, count = WordHash(), np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            count[_slots(shingles(text, n, table))] += 1
+    used = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["slot", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
+    table = WordHash()
+    for batch in batches:
+        out, sizes = [], []
+        for text in batch.column(1).to_pylist():
+            h = shingles(text, n, table)
+            sizes.append(len(h))
+            most = len(h) - (percent * len(h) + 99) // 100 + 1
+            out.append(h[np.lexsort((h, counts.value[_slots(h)]))[:most]].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Each vertex of ``edges`` (a, b) and the smallest vertex it is connected with: (id, comp)."""
     both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
@@ -144,11 +172,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     flat = classes.select("id", "n", F.explode("bands").alias("bucket"))
     # a table joined with a table: only then does adaptive execution split a bucket that many classes share
     shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
-    active = scratch.write(flat.join(shared, "bucket").select("id", "n", "bucket"), "buckets")
+    ids = scratch.write(flat.join(shared, "bucket").select(F.col("id").alias("_id")).distinct(), "ids")
     # classes are compared by the text of the document that names them
-    ids = active.select(F.col("id").alias("_id")).distinct()
     involved = texts.join(ids, texts["doc_id"] == ids["_id"], "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
     involved = scratch.write(involved.select(F.col("doc_id").alias("id"), "text"), "texts")
+    # of a pair that similar, each text's rarest shingles hold one of the other's, in any order of shingles that both follow. So what
+    # shares a band meets in buckets of rare shingles, and a passage that many texts hold makes no pairs. The order comes from
+    # a table of frequencies of fixed size, whose errors cost no link.
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    found = map_batches(involved, lambda b: _frequencies(b, shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    order = docs.sparkSession.sparkContext.broadcast(counts)
+    rare = scratch.write(map_batches(involved, lambda b: _prefixes(b, shingle, percent, order), "id long, n long, prefix array<long>"), "prefixes")
+    flat = rare.select("id", "n", F.explode("prefix").alias("bucket"))
+    scratch.drop(shared)
+    shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
+    active = scratch.write(flat.join(shared, "bucket").select("id", "n", "bucket"), "buckets")
     comps = scratch.write(ids.select(F.col("_id").alias("id"), F.col("_id").alias("comp")), "comps")
     tested, done, turn = None, [active], 0
     while True:
@@ -178,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             comps = nxt
         active = left.join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti").select("id", "n", "bucket")
         done, turn = [left, pivots, links], turn + 1
-    scratch.drop(left, involved, shared)
+    scratch.drop(left, involved, shared, rare)
     names = classes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("_comp"))
     names = scratch.write(names, "names")
     out = every.join(names, "digest", "left")
