@@ -111,10 +111,11 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, words: int = WORDS, long
     hashed = scratch.write(map_batches(rows, lambda b: _hashes(b, n, words, longest), "doc_id long, th long, h array<long>, at array<int>, n array<int>"), "hashes")
     flat = hashed.select("doc_id", "th", F.explode(F.arrays_zip("h", "at", "n")).alias("x")).select("doc_id", "th", "x.h", "x.at", "x.n")
     place = F.struct(F.col("doc_id"), F.col("th"), F.col("at"))
-    first = flat.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    # a table joined with a table: only then does adaptive execution split a hash that many documents share
+    first = scratch.write(flat.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "repeated")
     # only places of hashes that occur twice go on, a small part of all
     again = scratch.write(flat.join(first, "h"), "again")
-    first = again.groupBy("h").agg(F.min(place).alias("first"))
+    first = scratch.write(again.groupBy("h").agg(F.min(place).alias("first")), "first")
     return scratch.write(again.join(first, "h").where(place != F.col("first")).select("doc_id", "th", "at", "n", F.col("first.doc_id").alias("first_doc")), "later")
 
 
