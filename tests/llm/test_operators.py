@@ -318,7 +318,7 @@ def brute_spans(rows):
         assert "".join(parts) == t
         gone = set()
         for a in range(len(parts)):
-            for b in range(a + sentence_spans.SENTENCES, len(parts) + 1):
+            for b in range(a + sentence_spans.SENTENCES, min(a + 12, len(parts)) + 1):
                 if sum(len(p.split()) for p in parts[a:b]) >= sentence_spans.WORDS:
                     key = tuple(p.strip() for p in parts[a:b])
                     if key in seen:
