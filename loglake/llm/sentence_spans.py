@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, at line breaks, and within a sentence
-after every ``LONGEST`` words. From each sentence on, and up to each sentence, the shortest run of consecutive sentences with
+A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, at line breaks, and a sentence of more than
+``LONGEST`` words also where the hash of two neighbouring words is the least (or one of the least) of the ``REACH`` gaps before and after. Such
+a cut depends on the words around it alone, so a passage is cut alike wherever it stands in whatever sentence; there is no
+greatest length, as that would count from the sentence's start. From each sentence on, and up to each sentence, the shortest run of consecutive sentences with
 at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (surrounding white space ignored). These runs cover every
 longer one. Runs are joined by hash over the
 whole corpus; the first is the one with the smallest (doc_id, place), and every sentence that a later one covers is
@@ -15,6 +17,7 @@ adaptive execution; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,10 +32,24 @@ from loglake.llm.common import Scratch, load, map_batches, mix
 SENTENCES = 2
 WORDS = 10
 LONGEST = 20
+REACH = 3
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+\s*")
 _WORDS = re.compile(r"\S+\s*")
 
 
+def _places(words: list[str]) -> list[int]:
+    """Where a long sentence is cut: numbers of the words that begin a piece. Gaps next to an end have too few neighbours to tell."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    gap = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    if len(gap) <= 2 * REACH:
+        return []
+    n = len(gap) - 2 * REACH
+    least = gap[:n]
+    for k in range(1, 2 * REACH + 1):
+        least = np.minimum(least, gap[k : k + n])
+    return (np.flatnonzero(gap[REACH : REACH + n] == least) + REACH + 1).tolist()
+
+
 def sentences(text: str, longest: int = LONGEST) -> list[str]:
     """The text in pieces, each with the white space after it; joined they give the text."""
     out, at = [], 0
@@ -44,11 +61,12 @@ def sentences(text: str, longest: int = LONGEST) -> list[str]:
     if any(len(s) > 2 * longest for s in out):
         cut = []
         for s in out:
-            if len(s) > 2 * longest and len(s.split()) > longest:
+            if len(s) > 2 * longest and len(bare := s.split()) > longest:
                 words = _WORDS.findall(s)
                 lead = s[: len(s) - sum(map(len, words))]
                 words[0] = lead + words[0]
-                cut += ["".join(words[k : k + longest]) for k in range(0, len(words), longest)]
+                at = [0, *_places(bare), len(words)]
+                cut += ["".join(words[a:b]) for a, b in itertools.pairwise(at)]
             else:
                 cut.append(s)
         out = cut

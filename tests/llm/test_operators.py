@@ -341,6 +341,25 @@ def test_sentence_spans_against_brute_force(spark, docs, corpus):
     assert sentence_spans.dedup_spans(empty(spark)).count() == 0
 
 
+def test_sentence_spans_find_a_passage_at_any_word_offset(spark):
+    rng = np.random.default_rng(17)
+    words = lambda n: [str(w) + str(rng.integers(1000)) for w in rng.choice(WORDS, n)]
+    passage = words(67)
+    rows = [(k, " ".join(words(k) + passage + words(30))) for k in range(40)]  # no sentence ends at all
+    rows += [(50, " ".join(["same"] * 90)), (51, " ".join(words(7) + ["same"] * 70))]
+    got = {r.doc_id: r.text.split() for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()  # word-level brute force: every run of WORDS words of an earlier place is a repeat
+    for i, text in rows:
+        w, again = text.split(), set()
+        for a in range(len(w) - sentence_spans.WORDS + 1):
+            run = tuple(w[a : a + sentence_spans.WORDS])
+            again |= set(range(a, a + sentence_spans.WORDS)) if run in seen else set()
+            seen.add(run)
+        gone = collections.Counter(w) - collections.Counter(got[i])
+        assert not gone - collections.Counter(w[k] for k in again), i  # nothing else goes
+        assert len(again) - gone.total() <= 24, (i, len(again), gone.total())  # but for the ragged ends, all of it goes
+
+
 def test_url_filter(spark):
     rng = np.random.default_rng(4)
     hosts = ["a.com", "com", "example.com", "www.example.com", "x.www.EXAMPLE.com", "b.net", "net", "c.org", "", "..com", "com."]
