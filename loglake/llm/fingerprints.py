@@ -5,10 +5,10 @@ Word anchors: of all runs of ``K`` words, those whose smallest hashed ``S``-word
 ``CHAR_S``-character parts, so that short texts have enough anchors; a text with no run at all is its own anchor. Whether a
 run is chosen depends on the run alone, so equal passages give equal anchors wherever they stand.
 
-A fingerprint is the sorted set of the ``SKETCH`` smallest 32-bit anchors (all of them, in most texts) as hexadecimal
-words: first the kind (``c`` or ``w``: with character anchors or without), then the anchors. The likeness of two is the share
-of common anchors among the smallest of their union, over word anchors alone if just one of the texts has
-character anchors.
+A fingerprint is the sorted set of all 32-bit anchors as hexadecimal words: first the kind (``c`` or ``w``: with character
+anchors or without), then the anchors. The likeness of two is the share of common anchors in their union, over word
+anchors alone if just one of the texts has character anchors. For positional matching, ``places`` has each occurrence of an
+anchor with the number, from 0, of the word (even anchors) or the character (odd ones) at which its run begins.
 
 Results for odd input: null and empty texts have the fingerprint ``c``; two without anchors have likeness 1, one without
 and one with, 0; rows that repeat stand next to each other in the order (doc_id, hash of text) and are fingerprinted once
@@ -28,24 +28,26 @@ from loglake.llm.common import load
 K, S = 5, 2
 SHORT = 512
 CHAR_K, CHAR_S = 10, 4
-SKETCH = 256
 #: Characters of text in a bucket of ``with_next``, and the least number of buckets.
 BUCKET_CHARS = 16_000_000
 LEAST_BUCKETS = 64
 
 
 def _syncmers(parts: str, span: int, mark: int) -> str:
-    """SQL: anchors of an array of hashed parts, where a run is ``span`` parts in a row. Word anchors are even, others odd."""
+    """SQL: anchors of an array of hashed parts, each with its place, where a run is ``span`` parts in a row. Word anchors are
+    even, others odd."""
     n = f"size({parts})"
     shifted = ", ".join(f"slice({parts}, {k + 1}, {n} - {span - 1})" for k in range(span))
     inner = ", ".join(f"z.`{k}`" for k in range(1, span - 1))
     inner = f"least({inner})" if span > 3 else inner
-    chosen = f"filter(arrays_zip({shifted}), z -> least(z.`0`, z.`{span - 1}`) <= {inner})"
-    return f"CASE WHEN {n} >= {span} THEN transform({chosen}, z -> (xxhash64(z) & 4294967294) | {mark}) ELSE array() END"
+    chosen = f"filter(arrays_zip({shifted}, sequence(0, {n} - {span})), z -> least(z.`0`, z.`{span - 1}`) <= {inner})"
+    run = ", ".join(f"z.`{k}`" for k in range(span))
+    return f"CASE WHEN {n} >= {span} THEN transform({chosen}, z -> struct(z.`{span}` AS at, (xxhash64({run}) & 4294967294) | {mark} AS anchor)) ELSE array() END"
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array<long>, the sketch of a text column's anchors; and ``out``_c: whether it has character anchors."""
+    """Adds ``out``: array<long>, the sorted set of a text column's anchors; ``out``_at: array<struct<at, anchor>>, each of their
+    occurrences; and ``out``_c: whether it has character anchors."""
     words, parts, chars, every = (f"_{out}{k}" for k in range(4))
     df = df.withColumn(f"{out}_c", F.length(text) < SHORT)
     # a step each, so that no array is computed again for every element of another
@@ -53,8 +55,9 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(parts, F.expr(f"CASE WHEN size({words}) >= {S} THEN transform(arrays_zip(slice({words}, 1, size({words}) - 1), slice({words}, 2, size({words}) - 1)), z -> xxhash64(z)) ELSE array() END"))
     df = df.withColumn(chars, F.expr(f"CASE WHEN {out}_c THEN transform(regexp_extract_all({text}, '(?s)(?=(.{{{CHAR_S}}}))', 1), c -> xxhash64(c)) ELSE array() END"))
     df = df.withColumn(every, F.concat(F.expr(_syncmers(parts, K - S + 1, 0)), F.expr(_syncmers(chars, CHAR_K - CHAR_S + 1, 1))))
-    own = f"CASE WHEN length({text}) = 0 THEN array() ELSE array(xxhash64({text}) & 4294967294) END"
-    df = df.withColumn(out, F.expr(f"slice(array_sort(array_distinct(CASE WHEN size({every}) > 0 THEN {every} ELSE {own} END)), 1, {SKETCH})"))
+    own = f"CASE WHEN length({text}) = 0 THEN array() ELSE array(struct(0 AS at, xxhash64({text}) & 4294967294 AS anchor)) END"
+    df = df.withColumn(f"{out}_at", F.expr(f"CASE WHEN size({every}) > 0 THEN {every} ELSE {own} END"))
+    df = df.withColumn(out, F.expr(f"sort_array(array_distinct({out}_at.anchor))"))
     return df.drop(words, parts, chars, every)
 
 
@@ -63,12 +66,10 @@ def fingerprint(anchors: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of two sketches."""
+    """Likeness of two sets of anchors."""
     own = lambda x: f"CASE WHEN {a}_c = {b}_c THEN {x} ELSE filter({x}, y -> y % 2 = 0) END"
     x, y = own(a), own(b)
-    # the sketches are sets of the smallest; so the smallest of their union, up to the size of a full sketch, are those of all
-    union = f"slice(array_sort(array_union({x}, {y})), 1, {SKETCH})"
-    return F.expr(f"CASE WHEN size({x}) = 0 AND size({y}) = 0 THEN 1D WHEN size({x}) = 0 OR size({y}) = 0 THEN 0D ELSE size(array_intersect(array_intersect({union}, {x}), {y})) / cast(size({union}) AS double) END")
+    return F.expr(f"CASE WHEN size({x}) = 0 AND size({y}) = 0 THEN 1D WHEN size({x}) = 0 OR size({y}) = 0 THEN 0D ELSE size(array_intersect({x}, {y})) / cast(size(array_union({x}, {y})) AS double) END")
 
 
 def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -102,9 +103,9 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS, least_buckets:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, anchors, anchors_c, fingerprint of each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_chars, anchors, anchors_c, fingerprint, places of each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_anchors(rows, "text", "anchors").select("doc_id", F.length("text").cast("long").alias("n_chars"), "anchors", "anchors_c", fingerprint("anchors").alias("fingerprint"))
+    return with_anchors(rows, "text", "anchors").select("doc_id", F.length("text").cast("long").alias("n_chars"), "anchors", "anchors_c", fingerprint("anchors").alias("fingerprint"), F.col("anchors_at").alias("places"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +114,4 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 AS int)), left(next, cast(n_chars div 2 AS int)))"))
     for text, name in (("text", "a"), ("edited", "e"), ("next", "n")):
         both = with_anchors(both, text, name)
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("a").alias("fingerprint"), fingerprint("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "n").alias("near_next"))
+    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("a").alias("fingerprint"), fingerprint("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "n").alias("near_next"), F.col("a_at").alias("places"))
