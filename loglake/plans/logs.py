@@ -47,6 +47,13 @@ def segment_lookup_asof(spark, d):
     return R.floor_lookup(log.where("offset % 97 = 0").select(*PLACE, "offset"), segments, PLACE, "offset", "segment_base")
 
 
+@query(f"""{WITH} SELECT topic, "partition", "offset", max(CASE WHEN "offset" % 500 = 0 THEN "offset" END) OVER (PARTITION BY topic, "partition" ORDER BY "offset") AS segment_base FROM log""")
+def segment_lookup_every_offset(spark, d):
+    log = event_log(spark, d)
+    segments = log.where("offset % 500 = 0").select(*PLACE, F.col("offset").alias("segment_base"))
+    return R.floor_lookup(log.select(*PLACE, "offset"), segments, PLACE, "offset", "segment_base")
+
+
 @query(f"""{WITH}, m AS (SELECT topic, "partition", min("offset") AS lo, max("offset") + 1 AS hi FROM log GROUP BY ALL), r(p, ts) AS (SELECT p, t FROM range(5) a(p), (VALUES (-2), (-1), (1700000000000)) b(t))
     SELECT 'events' AS topic, CAST(p AS INTEGER) AS "partition", CAST(ts AS BIGINT) AS timestamp, CAST(coalesce(CASE WHEN ts = -2 THEN lo ELSE hi END, -1) AS BIGINT) AS "offset",
     CASE WHEN hi IS NULL THEN 'UNKNOWN_TOPIC_OR_PARTITION' ELSE 'NONE' END AS error FROM r LEFT JOIN m ON p = "partition" """)

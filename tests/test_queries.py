@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from loglake.model import event_log
 from loglake.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,5 +43,11 @@ def test_query_without_sql_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
+def test_segment_lookup_answers_every_offset(spark, small):
+    got = [tuple(r) for r in registry.QUERIES["segment_lookup_every_offset"](spark, small).select("partition", "offset", "segment_base").collect()]
+    places = sorted((r[0], r[1]) for r in event_log(spark, small).select("partition", "offset").collect())
+    assert sorted(got) == [(p, o, max(b for q, b in places if q == p and b % 500 == 0 and b <= o)) for p, o in places]
+
+
 def test_entry(spark, small):
     assert registry.flagship(spark, small).count() > 0
