@@ -5,13 +5,20 @@ document's whole sequence is its one shingle). Two permutations make all signatu
 shingles over ``UNIVERSE`` places; the second, shifted circularly by k, gives coordinate k, so a shingle's values for all
 coordinates are one contiguous slice of the second. Bands of some coordinates each make buckets (``BANDING``).
 
-Documents with equal sets are one class from the start, whatever their number. Classes that share a band with another go on:
-they meet in buckets of their rarest shingles, of which two such similar sets share at least one. In each bucket with members of several
-components, some members are drawn as pivots, one in the first rounds and more in later ones; members of other
-components are compared with them on their full shingle sets, links merge components, and pivots, which have met
-everybody, leave. This ends when no bucket holds two components, so every pair of a bucket has been compared or is
-linked already by others: no partner is dropped and no group's pairs are all emitted. Links and components stay in
-tables; components are merged by repeatedly taking the neighbours' smallest label.
+Documents with equal sets are one class from the start, whatever their number. Candidates are pairs of classes that share a
+band's bucket, and they are confirmed on their full sets:
+
+* ``STARS`` times, each bucket draws a pivot and its other members are compared with it; links merge components. This
+  joins a group of near copies at a cost of one pair per member and bucket.
+* Then only buckets that still hold several components go on. Their members meet in blocks of about ``BLOCK``; of pairs
+  that are in different components, each is looked at in the first bucket it shares, and goes to verification if
+  ``SKETCH`` one-bit coordinates (a longer slice of the same second permutation) don't rule it out. They rule out a
+  pair of just the least similarity with a probability of 1e-6, as bands do.
+
+So every pair that shares a band is linked already, or compared, or ruled out by its sketches; no bucket's pairs are
+emitted, and no partner is dropped for its bucket's size. A bucket in which m members stay in different components costs
+m * m / 2 sketch comparisons of 512 bytes, spread over tasks by blocks; that is the price of losing no link. Full sets
+go to a task once per pair, a pivot's once per ``HUB`` of its pairs.
 
 Results for odd input: null and empty texts, and white space, have no shingle, are linked with nothing and kept; rows with
 the same doc_id and text are one document; with the same doc_id but other texts, the document's texts are linked;
@@ -20,7 +27,7 @@ a null ``doc_id`` is linked with nothing, has a null component and is kept; an e
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +44,14 @@ PERCENT = 80
 #: that merely holds the same passage hardly ever shares one.
 BANDING = {85: (64, 10), 80: (76, 8), 0: (128, 4)}
 UNIVERSE = 1 << 18
-#: Pivots of a bucket in each round; after the last number, twice as many each time.
-PIVOTS = (1, 4, 32, 256)
-#: Slots of the table of shingle frequencies that orders prefixes; its size is fixed.
-SLOT_BITS = 19
+#: Rounds of pivots before blocks; members of a bucket that are compared at once; coordinates of a sketch.
+STARS = 2
+BLOCK = 1024
+SKETCH = 4096
+#: Pairs of one pivot that go to a task together.
+HUB = 2000
+#: Ids that are broadcast at most (8 bytes each) to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -94,54 +105,86 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    table, seen = WordHash(), OrderedDict()
-
-    def of(key, text):
-        if key in seen:
-            seen.move_to_end(key)
-        else:
-            seen[key] = shingles(text, n, table)
-            if len(seen) > 64:
-                seen.popitem(last=False)
-        return seen[key]
-
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Each text's set, as bytes, and its digest."""
+    table = WordHash()
     for batch in batches:
-        ok = []
-        for p, pt, q, qt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = of(p, pt), of(q, qt)
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                ok.append(False)
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(100 * both >= percent * (len(a) + len(b) - both))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["a", "b"])
+        got = [shingles(t, n, table).tobytes() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in got], pa.binary()), pa.array(got, pa.binary())], names=["digest", "set"])
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
+def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """One bit of each of ``bits`` coordinates, and 32 bits of each band."""
+    perm = Circulant(max(bits, bands * rows))
+    for batch in batches:
+        sketch, own = [], []
+        for s in batch.column(1).to_pylist():
+            sig = perm.signature(np.frombuffer(s, np.uint64))
+            sketch.append(np.packbits((sig[:bits] & 1).astype(bool)).tobytes())
+            own.append((bands_of(sig, bands, rows).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.binary()), pa.array(own, pa.binary())], names=["id", "sketch", "bands"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of each block pair. Rows: bucket, band, lo, hi, block, id, n, comp, sketch, bands; those of a block pair stand together."""
+    t = percent / 100
+    # least similarity that a sketch may show: 4.75 deviations below what is asked for
+    most = bits * (1 - (t - 4.75 * 2 * math.sqrt((1 + t) / 2 * (1 - t) / 2 / bits))) / 2
+    key, held = None, []
+
+    def done() -> pa.RecordBatch | None:
+        if len(held) < 2:
+            return None
+        bucket, band, lo, hi, block, ids, n, comp, sketch, own = zip(*held, strict=True)
+        block, ids, n, comp = (np.array(x, np.int64) for x in (block, ids, n, comp))
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1).view(np.uint64)
+        own = np.frombuffer(b"".join(own), np.uint32).reshape(len(ids), -1)
+        a, b = [], []
+        for i in np.flatnonzero(block == lo[0]):
+            others = np.flatnonzero((block == hi[0]) & (comp != comp[i]) & ((ids > ids[i]) | (lo[0] != hi[0])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            others = others[(own[others] == own[i]).argmax(1) == band[0]]
+            others = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+            a.append(np.full(len(others), ids[i]))
+            b.append(ids[others])
+        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["p", "x"])
 
-def _frequencies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    table, count = WordHash(), np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        for text in batch.column(1).to_pylist():
-            count[_slots(shingles(text, n, table))] += 1
-    used = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["slot", "n"])
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (r[0], r[2], r[3]) != key:
+                if (out := done()) is not None and len(out):
+                    yield out
+                key, held = (r[0], r[2], r[3]), []
+            held.append(r)
+    if (out := done()) is not None and len(out):
+        yield out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows p, part, x, set; those of (p, part) stand together, the pivot's own (x is null) first."""
+    own = None
+    for batch in batches:
+        a, b = [], []
+        for p, x, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            s = np.frombuffer(s.as_buffer(), np.uint64)
+            if x is None:
+                own = s.copy()
+                continue
+            both = len(np.intersect1d(own, s, assume_unique=True))
+            if 100 * both >= percent * (len(own) + len(s) - both):
+                a.append(p)
+                b.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
-    table = WordHash()
-    for batch in batches:
-        out, sizes = [], []
-        for text in batch.column(1).to_pylist():
-            h = shingles(text, n, table)
-            sizes.append(len(h))
-            most = len(h) - (percent * len(h) + 99) // 100 + 1
-            out.append(h[np.lexsort((h, counts.value[_slots(h)]))[:most]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (p, x), those whose sets are that similar. Sets move once per pair, a pivot's own once per ``HUB`` pairs."""
+    hubs = pairs.groupBy("p").agg(F.count("*").alias("_n")).where(f"_n > {HUB}").select("p", F.expr(f"_n div {HUB} + 1").alias("_parts"))
+    dealt = pairs.join(hubs, "p", "left").select("p", "x", F.expr("pmod(xxhash64(x), coalesce(_parts, 1))").alias("part"))
+    members = dealt.join(sets.withColumnRenamed("id", "x"), "x").select("p", "part", "x", "set")
+    own = dealt.select("p", "part").distinct().join(sets.withColumnRenamed("id", "p"), "p").select("p", "part", F.lit(None).cast("long").alias("x"), "set")
+    together = members.union(own).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
+    return map_batches(together, lambda b: _verify(b, percent), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -161,70 +204,92 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, banding: tuple[int, int] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, banding: tuple[int, int] | None = None, block: int = BLOCK, stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     bands, rows = banding or next(v for k, v in BANDING.items() if percent >= k)
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = scratch.write(map_batches(texts, lambda b: _signatures(b, shingle, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
-    # classes of equal sets, named by their smallest document
-    classes = scratch.write(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    flat = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    known = every.where("digest is not null and doc_id is not null")
+    # classes of equal sets; numbered, and written, so that the numbers hold for whoever reads them
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    flat = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     # a table joined with a table: only then does adaptive execution split a bucket that many classes share
     shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
-    ids = scratch.write(flat.join(shared, "bucket").select(F.col("id").alias("_id")).distinct(), "ids")
-    # classes are compared by the text of the document that names them
-    involved = texts.join(ids, texts["doc_id"] == ids["_id"], "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    involved = scratch.write(involved.select(F.col("doc_id").alias("id"), "text"), "texts")
-    # of a pair that similar, each text's rarest shingles hold one of the other's, in any order of shingles that both follow. So what
-    # shares a band meets in buckets of rare shingles, and a passage that many texts hold makes no pairs. The order comes from
-    # a table of frequencies of fixed size, whose errors cost no link.
-    counts = np.zeros(1 << SLOT_BITS, np.int32)
-    found = map_batches(involved, lambda b: _frequencies(b, shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
-    order = docs.sparkSession.sparkContext.broadcast(counts)
-    rare = scratch.write(map_batches(involved, lambda b: _prefixes(b, shingle, percent, order), "id long, n long, prefix array<long>"), "prefixes")
-    flat = rare.select("id", "n", F.explode("prefix").alias("bucket"))
+    members = scratch.write(flat.join(shared, "bucket").select("id", "n", "band", "bucket"), "members")
     scratch.drop(shared)
-    shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
-    active = scratch.write(flat.join(shared, "bucket").select("id", "n", "bucket"), "buckets")
-    comps = scratch.write(ids.select(F.col("_id").alias("id"), F.col("_id").alias("comp")), "comps")
-    tested, done, turn = None, [active], 0
-    while True:
-        now = active.join(comps, "id")
-        mixed = scratch.write(now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket"), "mixed")
-        left = scratch.write(now.join(mixed, "bucket").select("id", "n", "bucket", "comp"), "active")
-        scratch.drop(mixed, *done)
-        if left.isEmpty():
-            break
-        n = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
-        draw = F.xxhash64("id", F.lit(turn))
-        pivots = left.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(n)).alias("_part")).agg(F.min(F.struct(draw.alias("_draw"), "id", "n", "comp")).alias("_p"))
-        pivots = scratch.write(pivots.select("bucket", F.col("_p.id").alias("p"), F.col("_p.n").alias("pn"), F.col("_p.comp").alias("pc")), "pivots")
-        # sets whose sizes are too far apart can't be that similar: such pairs aren't made
-        pairs = left.join(pivots, "bucket").where(f"comp <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        with_a = pairs.join(involved.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        with_b = with_a.join(involved.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        links = scratch.write(map_batches(with_b.select("a", "ta", "b", "tb"), lambda b: _verify(b, shingle, percent), "a long, b long"), "links")
+    comps = scratch.write(members.select("id", F.col("id").alias("comp")).distinct(), "comps")
+    sets = _involved_sets(texts, classes, comps, shingle, scratch)
+
+    def merged(edges: DataFrame) -> DataFrame:
+        side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        between = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+        new = components(between, scratch)
+        out = comps.join(new.select(F.col("id").alias("_c"), F.col("comp").alias("_new")), F.col("comp") == F.col("_c"), "left").select("id", F.coalesce("_new", "comp").alias("comp"))
+        out = scratch.write(out, "comps")
+        scratch.drop(comps, new)
+        return out
+
+    for turn in range(stars):
+        now = members.join(comps, "id") if turn else members.withColumn("comp", F.col("id"))
+        pivots = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("_p"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        pivots = scratch.write(pivots.where("_lo < _hi").select("bucket", "_p.p", "_p.pn", "_p.pc"), "pivots")
+        # sets whose sizes are too far apart can't be that similar
+        pairs = now.join(pivots, "bucket").where(f"comp <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select("p", F.col("id").alias("x")).distinct()
+        pairs = scratch.write(pairs, "pairs")
+        links = scratch.write(_links(pairs, sets, percent), "links")
+        scratch.drop(pairs, pivots)
+        if not links.isEmpty():
+            comps = merged(links)
+        scratch.drop(links)
+    now = members.join(comps, "id")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi")
+    mixed = scratch.write(mixed.select("bucket", F.expr(f"(_m + {block - 1}) div {block}").alias("blocks")), "mixed")
+    left = scratch.write(now.join(mixed, "bucket").select("bucket", "band", "blocks", "id", "n", "comp"), "left")
+    scratch.drop(mixed, members)
+    if not left.isEmpty():
+        sketches = sets.join(left.select("id").distinct(), "id", "left_semi").select("id", "set")
+        sketches = scratch.write(map_batches(sketches, lambda b: _sketches(b, bands, rows, SKETCH), "id long, sketch binary, bands binary"), "sketches")
+        dealt = left.withColumn("block", F.expr("pmod(xxhash64(id, bucket), blocks)")).withColumn("_o", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        dealt = dealt.select("bucket", "band", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "id", "n", "comp").join(sketches, "id")
+        dealt = dealt.select("bucket", "band", "lo", "hi", "block", "id", "n", "comp", "sketch", "bands").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        pairs = scratch.write(map_batches(dealt, lambda b: _meet(b, percent, SKETCH), "p long, x long"), "pairs")
+        scratch.drop(sketches)
+        links = scratch.write(_links(pairs, sets, percent), "links")
         if not links.isEmpty():
-            side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-            edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
-            merged = components(edges, scratch).select(F.col("id").alias("_c"), F.col("comp").alias("_new"))
-            nxt = scratch.write(comps.join(merged, comps["comp"] == merged["_c"], "left").select("id", F.coalesce("_new", "comp").alias("comp")), "comps")
-            scratch.drop(comps)
-            comps = nxt
-        active = left.join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti").select("id", "n", "bucket")
-        done, turn = [left, pivots, links], turn + 1
-    scratch.drop(left, involved, shared, rare)
-    names = classes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("_comp"))
-    names = scratch.write(names, "names")
-    out = every.join(names, "digest", "left")
+            comps = merged(links)
+        scratch.drop(pairs, links)
+    scratch.drop(left, sets)
+    # a document's several texts belong together
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_lo < _hi").select("doc_id")
+    several = scratch.write(known.join(several, "doc_id").select("doc_id", "digest").distinct(), "several")
+    if not several.isEmpty():
+        own = several.join(classes.select("digest", "id"), "digest").select("doc_id", "id")
+        comps = scratch.write(classes.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comps")
+        comps = merged(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+    found = comps.join(classes.select("id", "doc", "digest"), "id")
+    least = found.groupBy("comp").agg(F.min("doc").alias("_least"))
+    names = scratch.write(found.join(least, "comp").select("id", "_least"), "names")
+    names = scratch.write(classes.select("id", "digest", "doc").join(names, "id", "left").select(F.col("digest").alias("_digest"), F.coalesce("_least", "doc").alias("_comp")), "names")
+    out = every.select("doc_id", "n_shingles", "digest").join(names, F.col("digest") == F.col("_digest"), "left")
+    scratch.drop(classes, several, comps)
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _involved_sets(texts: DataFrame, classes: DataFrame, comps: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """id, set of the classes in ``comps``, from the text of one document each."""
+    some = scratch.write(classes.select("id", "doc", "digest").join(comps.select("id"), "id"), "some")
+    ids = some.select(F.col("doc").alias("_doc")).distinct()
+    if some.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    got = map_batches(texts.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi").select("text"), lambda b: _sets(b, shingle), "digest binary, set binary")
+    out = scratch.write(got.join(some.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set"), "sets")
+    scratch.drop(some)
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that of the smallest doc_id (of rows that repeat it,
     the first text). Rows with a null doc_id stay."""
