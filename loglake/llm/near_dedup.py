@@ -50,7 +50,7 @@ BLOCK = 1024
 SKETCH = 4096
 #: Pairs of one pivot that go to a task together.
 HUB = 2000
-#: Ids that are broadcast at most (8 bytes each) to pick their texts; more are joined by a shuffle.
+#: Ids that are broadcast at most (some 40 bytes each) to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,11 +106,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Each text's set, as bytes, and its digest."""
+    """Rows id, digest, text: the text's set, as bytes, if it is the one with that digest."""
     table = WordHash()
     for batch in batches:
-        got = [shingles(t, n, table).tobytes() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in got], pa.binary()), pa.array(got, pa.binary())], names=["digest", "set"])
+        got = [shingles(t, n, table).tobytes() for t in batch.column(2).to_pylist()]
+        own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(got, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "set"]).filter(own)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: in
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of each block pair. Rows: bucket, band, lo, hi, block, id, n, comp, sketch, bands; those of a block pair stand together."""
+    """Candidates of each block pair. Rows: bucket, lo, hi, block, id, n, comp, sketch, bands; those of a block pair stand together."""
     t = percent / 100
     # least similarity that a sketch may show: 4.75 deviations below what is asked for
     most = bits * (1 - (t - 4.75 * 2 * math.sqrt((1 + t) / 2 * (1 - t) / 2 / bits))) / 2
@@ -135,14 +136,15 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterato
     def done() -> pa.RecordBatch | None:
         if len(held) < 2:
             return None
-        bucket, band, lo, hi, block, ids, n, comp, sketch, own = zip(*held, strict=True)
+        bucket, lo, hi, block, ids, n, comp, sketch, own = zip(*held, strict=True)
         block, ids, n, comp = (np.array(x, np.int64) for x in (block, ids, n, comp))
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1).view(np.uint64)
         own = np.frombuffer(b"".join(own), np.uint32).reshape(len(ids), -1)
+        band = int((own[0] == (bucket[0] >> 32) & 0xFFFFFFFF).argmax())  # whose bucket this is
         a, b = [], []
         for i in np.flatnonzero(block == lo[0]):
             others = np.flatnonzero((block == hi[0]) & (comp != comp[i]) & ((ids > ids[i]) | (lo[0] != hi[0])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            others = others[(own[others] == own[i]).argmax(1) == band[0]]
+            others = others[(own[others] == own[i]).argmax(1) == band]
             others = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
             a.append(np.full(len(others), ids[i]))
             b.append(ids[others])
@@ -151,10 +153,10 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterato
 
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (r[0], r[2], r[3]) != key:
+            if (r[0], r[1], r[2]) != key:
                 if (out := done()) is not None and len(out):
                     yield out
-                key, held = (r[0], r[2], r[3]), []
+                key, held = (r[0], r[1], r[2]), []
             held.append(r)
     if (out := done()) is not None and len(out):
         yield out
@@ -177,14 +179,17 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (p, x), those whose sets are that similar. Sets move once per pair, a pivot's own once per ``HUB`` pairs."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs`` (p, x), those whose sets are that similar, written. Sets move once per pair, a pivot's own once per ``HUB`` pairs."""
     hubs = pairs.groupBy("p").agg(F.count("*").alias("_n")).where(f"_n > {HUB}").select("p", F.expr(f"_n div {HUB} + 1").alias("_parts"))
-    dealt = pairs.join(hubs, "p", "left").select("p", "x", F.expr("pmod(xxhash64(x), coalesce(_parts, 1))").alias("part"))
+    # written: the planner sees how few they are
+    dealt = scratch.write(pairs.join(hubs, "p", "left").select("p", "x", F.expr("pmod(xxhash64(x), coalesce(_parts, 1))").alias("part")), "dealt")
     members = dealt.join(sets.withColumnRenamed("id", "x"), "x").select("p", "part", "x", "set")
     own = dealt.select("p", "part").distinct().join(sets.withColumnRenamed("id", "p"), "p").select("p", "part", F.lit(None).cast("long").alias("x"), "set")
     together = members.union(own).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
-    return map_batches(together, lambda b: _verify(b, percent), "a long, b long")
+    out = scratch.write(map_batches(together, lambda b: _verify(b, percent), "a long, b long"), "links")
+    scratch.drop(dealt)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -214,31 +219,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # classes of equal sets; numbered, and written, so that the numbers hold for whoever reads them
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    flat = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    flat = classes.select("id", F.explode("bands").alias("bucket"))
     # a table joined with a table: only then does adaptive execution split a bucket that many classes share
     shared = scratch.write(flat.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "shared")
-    members = scratch.write(flat.join(shared, "bucket").select("id", "n", "band", "bucket"), "members")
+    members = scratch.write(flat.join(shared, "bucket").select("id", "bucket"), "members")
     scratch.drop(shared)
-    comps = scratch.write(members.select("id", F.col("id").alias("comp")).distinct(), "comps")
-    sets = _involved_sets(texts, classes, comps, shingle, scratch)
+    comps = scratch.write(members.select("id").distinct().join(classes.select("id", "n"), "id").select("id", "n", F.col("id").alias("comp")), "comps")
+    # documents that are given more than once, with the same text or another
+    several = scratch.write(known.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_n > 1"), "several")
+    repeated = not several.isEmpty()
+    sets = _involved_sets(texts, classes, comps, shingle, repeated, scratch)
 
     def merged(edges: DataFrame) -> DataFrame:
         side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
         between = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
         new = components(between, scratch)
-        out = comps.join(new.select(F.col("id").alias("_c"), F.col("comp").alias("_new")), F.col("comp") == F.col("_c"), "left").select("id", F.coalesce("_new", "comp").alias("comp"))
+        out = comps.join(new.select(F.col("id").alias("_c"), F.col("comp").alias("_new")), F.col("comp") == F.col("_c"), "left").select("id", "n", F.coalesce("_new", "comp").alias("comp"))
         out = scratch.write(out, "comps")
         scratch.drop(comps, new)
         return out
 
     for turn in range(stars):
-        now = members.join(comps, "id") if turn else members.withColumn("comp", F.col("id"))
+        now = members.join(comps, "id")
         pivots = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("_p"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         pivots = scratch.write(pivots.where("_lo < _hi").select("bucket", "_p.p", "_p.pn", "_p.pc"), "pivots")
         # sets whose sizes are too far apart can't be that similar
         pairs = now.join(pivots, "bucket").where(f"comp <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select("p", F.col("id").alias("x")).distinct()
         pairs = scratch.write(pairs, "pairs")
-        links = scratch.write(_links(pairs, sets, percent), "links")
+        links = _links(pairs, sets, percent, scratch)
         scratch.drop(pairs, pivots)
         if not links.isEmpty():
             comps = merged(links)
@@ -246,28 +254,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     now = members.join(comps, "id")
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi")
     mixed = scratch.write(mixed.select("bucket", F.expr(f"(_m + {block - 1}) div {block}").alias("blocks")), "mixed")
-    left = scratch.write(now.join(mixed, "bucket").select("bucket", "band", "blocks", "id", "n", "comp"), "left")
+    left = scratch.write(now.join(mixed, "bucket").select("bucket", "blocks", "id", "n", "comp"), "left")
     scratch.drop(mixed, members)
     if not left.isEmpty():
-        sketches = sets.join(left.select("id").distinct(), "id", "left_semi").select("id", "set")
+        ids = scratch.write(left.select("id").distinct(), "ids")
+        sketches = sets.join(ids, "id", "left_semi").select("id", "set")
         sketches = scratch.write(map_batches(sketches, lambda b: _sketches(b, bands, rows, SKETCH), "id long, sketch binary, bands binary"), "sketches")
         dealt = left.withColumn("block", F.expr("pmod(xxhash64(id, bucket), blocks)")).withColumn("_o", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        dealt = dealt.select("bucket", "band", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "id", "n", "comp").join(sketches, "id")
-        dealt = dealt.select("bucket", "band", "lo", "hi", "block", "id", "n", "comp", "sketch", "bands").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        dealt = dealt.select("bucket", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "id", "n", "comp").join(sketches, "id")
+        dealt = dealt.select("bucket", "lo", "hi", "block", "id", "n", "comp", "sketch", "bands").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
         pairs = scratch.write(map_batches(dealt, lambda b: _meet(b, percent, SKETCH), "p long, x long"), "pairs")
-        scratch.drop(sketches)
-        links = scratch.write(_links(pairs, sets, percent), "links")
+        scratch.drop(sketches, ids)
+        links = _links(pairs, sets, percent, scratch)
         if not links.isEmpty():
             comps = merged(links)
         scratch.drop(pairs, links)
     scratch.drop(left, sets)
     # a document's several texts belong together
-    several = known.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_lo < _hi").select("doc_id")
-    several = scratch.write(known.join(several, "doc_id").select("doc_id", "digest").distinct(), "several")
-    if not several.isEmpty():
-        own = several.join(classes.select("digest", "id"), "digest").select("doc_id", "id")
-        comps = scratch.write(classes.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comps")
-        comps = merged(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+    if repeated:
+        texts_of = known.join(several.where("_lo < _hi").select("doc_id"), "doc_id").select("doc_id", "digest").distinct()
+        own = scratch.write(texts_of.join(classes.select("digest", "id"), "digest").select("doc_id", "id"), "own")
+        if not own.isEmpty():
+            comps = scratch.write(classes.select("id", "n").join(comps.select("id", "comp"), "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp")), "comps")
+            comps = merged(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+        scratch.drop(own)
     found = comps.join(classes.select("id", "doc", "digest"), "id")
     least = found.groupBy("comp").agg(F.min("doc").alias("_least"))
     names = scratch.write(found.join(least, "comp").select("id", "_least"), "names")
@@ -278,14 +288,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _involved_sets(texts: DataFrame, classes: DataFrame, comps: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+def _involved_sets(texts: DataFrame, classes: DataFrame, comps: DataFrame, shingle: int, repeated: bool, scratch: Scratch) -> DataFrame:
     """id, set of the classes in ``comps``, from the text of one document each."""
-    some = scratch.write(classes.select("id", "doc", "digest").join(comps.select("id"), "id"), "some")
-    ids = some.select(F.col("doc").alias("_doc")).distinct()
-    if some.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    got = map_batches(texts.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi").select("text"), lambda b: _sets(b, shingle), "digest binary, set binary")
-    out = scratch.write(got.join(some.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set"), "sets")
+    some = scratch.write(classes.select("id", F.col("doc").alias("_doc"), "digest").join(comps.select("id"), "id"), "some")
+    few = some.count() <= BROADCAST_IDS
+    got = texts.join(F.broadcast(some) if few else some, F.col("doc_id") == F.col("_doc")).select("id", "digest", "text")
+    got = map_batches(got, lambda b: _sets(b, shingle), "id long, set binary")
+    out = scratch.write(got.dropDuplicates(["id"]) if repeated else got, "sets")
     scratch.drop(some)
     return out
 
