@@ -54,10 +54,11 @@ class Packer:
 
     def add(self, piece: Piece) -> None:
         doc, start, ids, total = piece
-        w = self.window
-        while (n := len(ids) // 4) >= w:
-            self.emit([(doc, start, ids[: 4 * w], total)])
-            start, ids = start + w, ids[4 * w :]
+        w, whole = self.window, len(ids) // 4 // self.window * self.window
+        for lo in range(0, whole, w):
+            self.emit([(doc, start + lo, ids[4 * lo : 4 * (lo + w)], total)])
+        start, ids = start + whole, ids[4 * whole :]
+        n = len(ids) // 4
         while n:
             best = None
             for x in self.windows:
