@@ -6,7 +6,8 @@ needs one number per bucket (its vector's part of the logit), a table of 4 bytes
 table's size doesn't depend on the corpus.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents (those with the smallest hash of their id, none longer than
-``TRAIN_CHARS``), gathered on the driver: a bound of rows x features. Scores cover all documents and whole texts.
+``TRAIN_CHARS``), gathered on the driver: a bound of rows x features; each is gone over ``EPOCHS`` times, or until there were
+``LEAST_STEPS`` steps. Scores cover all documents and whole texts.
 
 Results for odd input: null and empty texts have no n-grams and get the score of the bias alone; rows that repeat are
 scored once each; with no label to learn from, every score is 0.5; of several labels of one document, each counts; an
@@ -27,6 +28,8 @@ from loglake.llm.common import WordHash, hash_words, load, map_batches
 BITS = 18
 DIM = 8
 EPOCHS = 3
+#: Steps of training at least; few rows are gone over more often.
+LEAST_STEPS = 2000
 RATE = 0.5
 CHAR_NGRAMS = (2, 3, 4)
 TRAIN_ROWS = 2000
@@ -81,6 +84,7 @@ def train(texts: list[str], labels: list[int], bits: int = BITS, dim: int = DIM,
     rows = [(*features(t, table, bits), y) for t, y in zip(texts, labels, strict=True)]
     share = np.bincount(labels, minlength=2) / max(1, len(labels)) if labels else np.zeros(2)
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0) ** 0.5
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(rows))))
     step, steps = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)).tolist():
@@ -124,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int =
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)  # rows without a document or with a long one are lost below
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, chars))
-    got = texts.join(F.broadcast(known), texts["doc_id"] == known["_id"]).select("doc_id", "text", "_y").limit(2 * rows).collect()
+    got = texts.join(F.broadcast(known), texts["doc_id"] == known["_id"]).select("doc_id", "text", "_y")
+    # repeated documents may make more rows; which of them train doesn't depend on their order
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "_y").limit(rows).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"], r["_y"]))
     return train([r["text"] for r in got], [r["_y"] for r in got], **options)
 
