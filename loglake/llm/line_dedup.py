@@ -11,6 +11,8 @@ ranks: that of the first 2^j <= m lines, and that of the last 2^j of the m. In e
 from each of its lines and a backward one from its last. So this deletes every later copy of each maximal repeated run of at
 least ``WORDS`` words, and nothing else.
 
+A line's words stand between ASCII white space, a carriage return at its end included.
+
 Results for odd input: null text stays null, empty text stays empty; blank lines are kept and don't break or extend a run; a
 run within one document may overlap itself (its first copy stays); rows with the same doc_id and text are one document and
 get the same result; rows with a null doc_id come first of all; an empty table gives an empty table.
@@ -41,7 +43,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
     # the place counts lines that aren't blank
     numbered = F.expr("filter(transform(split(text, '\n'), (l, i) -> struct(i AS line, l AS l)), x -> x.l RLIKE '[^\\\\s]')")
     lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(numbered).alias("pos", "x"))
-    lines = lines.select("doc_id", "th", "pos", "x.line", F.xxhash64("x.l").alias("a"), F.xxhash64(F.lit("second"), F.col("x.l")).alias("b"), F.size(F.split(F.trim("x.l"), "[\\s]+")).alias("w"))
+    lines = lines.select("doc_id", "th", "pos", "x.line", F.xxhash64("x.l").alias("a"), F.xxhash64(F.lit("second"), F.col("x.l")).alias("b"), F.regexp_count("x.l", F.lit("[^\\s]+")).alias("w"))
     lines = scratch.write(lines, "lines")
     first = _ranked(lines.select("a", "b"), scratch)
     # ids of repeated lines only, the ranks that doubling begins with
@@ -59,7 +61,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
     longest = runs.agg(F.max("m")).first()[0]
     if longest is None:
         return base.select("doc_id", "th", "line").where("false")
-    level, ranks, found = 0, base.select("doc_id", "th", "pos", "rank"), None
+    level, ranks, found, levels = 0, base.select("doc_id", "th", "pos", "rank"), None, []
     while True:
         step = 1 << level
         own = runs.where(f"m >= {step} and m < {2 * step}")
@@ -69,16 +71,20 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
         named = own.join(key, same(own, key["_d"]) & (F.col("pos") == F.col("_q"))).drop("_d", "_t", "_q")
         tail = tail.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
         named = named.join(tail, same(named, tail["_d"]) & (F.col("pos") + F.col("m") - step == F.col("_p"))).select("doc_id", "th", "pos", "m", "head", "tail")
+        named = scratch.write(named, "intervals")
+        levels.append(named)
         found = named if found is None else found.union(named)
         if 2 * step > longest:
+            scratch.drop(ranks)
             break
         later = ranks.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("pos").alias("_p"), F.col("rank").alias("b"))
         pairs = ranks.withColumnRenamed("rank", "a").join(later, same(ranks, later["_d"]) & (F.col("pos") + step == F.col("_p"))).select("doc_id", "th", "pos", "a", "b")
         pairs = scratch.write(pairs, "pairs")
-        ranks = scratch.write(pairs.join(_ranked(pairs.select("a", "b"), scratch), ["a", "b"]).select("doc_id", "th", "pos", "rank"), "suffixes")
-        scratch.drop(pairs)
+        scratch.drop(ranks)
+        order = _ranked(pairs.select("a", "b"), scratch)
+        ranks = scratch.write(pairs.join(order, ["a", "b"]).select("doc_id", "th", "pos", "rank"), "suffixes")
+        scratch.drop(pairs, order)
         level += 1
-    found = scratch.write(found, "intervals")
     place = F.struct("doc_id", "th", "pos")
     first = found.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = scratch.write(first, "first")
@@ -86,7 +92,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, scratch: Scratch | None =
     covered = copies.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.explode(F.expr("sequence(pos, pos + m - 1)")).alias("_p")).distinct()
     gone = base.join(covered, base["doc_id"].eqNullSafe(covered["_d"]) & (base["th"] == covered["_t"]) & (base["pos"] == covered["_p"])).select("doc_id", "th", "line")
     out = scratch.write(gone, "gone")
-    scratch.drop(base, runs, found)
+    scratch.drop(base, runs, first, *levels)
     return out
 
 
