@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Word anchors: of all runs of ``K`` words, those whose smallest hashed ``S``-word part lies at an edge. Texts of fewer than
-``SHORT`` code points also get character anchors, runs of ``CHAR_K`` characters chosen the same way by their
-``CHAR_S``-character parts, so that short texts have enough anchors; a text with no run at all is its own anchor. Whether a
-run is chosen depends on the run alone, so equal passages give equal anchors wherever they stand.
+Word anchors: of all runs of ``K`` words, those whose smallest hashed ``S``-word part lies at an edge. A text that yields fewer
+than ``LEAST`` word anchors, or fewer than one in ``SPARSE`` code points (it is short, or has few spaces), also gets character
+anchors, runs of ``CHAR_K`` characters chosen the same way by their ``CHAR_S``-character parts; a text with no run at all is
+its own anchor. Whether a run is chosen depends on the run alone, so equal passages give equal anchors wherever they stand.
 
 A fingerprint is the sorted set of all 32-bit anchors as hexadecimal words: first the kind (``c`` or ``w``: with character
 anchors or without), then the anchors. The likeness of two is the share of common anchors in their union, over word
@@ -26,11 +26,13 @@ from pyspark.sql.window import Window
 from loglake.llm.common import load
 
 K, S = 5, 2
-SHORT = 512
+LEAST, SPARSE = 40, 64
 CHAR_K, CHAR_S = 10, 4
-#: Characters of text in a bucket of ``with_next``, and the least number of buckets.
+#: Characters of text in a bucket of ``with_next``, and the least and the greatest number of buckets: their limits are all that
+#: the driver gathers, whatever the corpus' size, and a larger bucket is sorted with spills.
 BUCKET_CHARS = 16_000_000
 LEAST_BUCKETS = 64
+MOST_BUCKETS = 8192
 
 
 def _syncmers(parts: str, span: int, mark: int) -> str:
@@ -48,17 +50,18 @@ def _syncmers(parts: str, span: int, mark: int) -> str:
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: array<long>, the sorted set of a text column's anchors; ``out``_at: array<struct<at, anchor>>, each of their
     occurrences; and ``out``_c: whether it has character anchors."""
-    words, parts, chars, every = (f"_{out}{k}" for k in range(4))
-    df = df.withColumn(f"{out}_c", F.length(text) < SHORT)
+    words, parts, runs, chars, every = (f"_{out}{k}" for k in range(5))
     # a step each, so that no array is computed again for every element of another
     df = df.withColumn(words, F.expr(f"transform(filter(split({text}, '[\\\\s]+'), w -> w <> ''), w -> xxhash64(w))"))
     df = df.withColumn(parts, F.expr(f"CASE WHEN size({words}) >= {S} THEN transform(arrays_zip(slice({words}, 1, size({words}) - 1), slice({words}, 2, size({words}) - 1)), z -> xxhash64(z)) ELSE array() END"))
+    df = df.withColumn(runs, F.expr(_syncmers(parts, K - S + 1, 0)))
+    df = df.withColumn(f"{out}_c", F.expr(f"size({runs}) < {LEAST} OR size({runs}) * {SPARSE}L < length({text})"))
     df = df.withColumn(chars, F.expr(f"CASE WHEN {out}_c THEN transform(regexp_extract_all({text}, '(?s)(?=(.{{{CHAR_S}}}))', 1), c -> xxhash64(c)) ELSE array() END"))
-    df = df.withColumn(every, F.concat(F.expr(_syncmers(parts, K - S + 1, 0)), F.expr(_syncmers(chars, CHAR_K - CHAR_S + 1, 1))))
+    df = df.withColumn(every, F.concat(F.col(runs), F.expr(_syncmers(chars, CHAR_K - CHAR_S + 1, 1))))
     own = f"CASE WHEN length({text}) = 0 THEN array() ELSE array(struct(0 AS at, xxhash64({text}) & 4294967294 AS anchor)) END"
     df = df.withColumn(f"{out}_at", F.expr(f"CASE WHEN size({every}) > 0 THEN {every} ELSE {own} END"))
     df = df.withColumn(out, F.expr(f"sort_array(array_distinct({out}_at.anchor))"))
-    return df.drop(words, parts, chars, every)
+    return df.drop(words, parts, runs, chars, every)
 
 
 def fingerprint(anchors: str) -> Column:
@@ -77,7 +80,7 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS, least_buckets:
     is the first row's. Texts move once: to the bucket of their range of ids, and the first rows of a bucket also to the one
     before it. Only the ranges' limits, some thousands of ids, are gathered."""
     seen = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("lo"), F.count("doc_id").alias("known")).first()
-    count = max(least_buckets, (seen["chars"] or 0) // bucket_chars)
+    count = min(MOST_BUCKETS, max(least_buckets, (seen["chars"] or 0) // bucket_chars))
     shares = ", ".join(f"{k / count:.8f}D" for k in range(1, count))
     limits = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {20 * count})")).first()[0] or []
     limits = sorted({x for x in limits if x > seen["lo"]})
