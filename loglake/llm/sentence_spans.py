@@ -27,90 +27,114 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import Scratch, load, map_batches, mix
+from loglake.llm.common import Scratch, WordHash, hash_words, load, map_batches, mix
 
-SENTENCES = 2
-WORDS = 10
+SENTENCES = 3
+WORDS = 25
 LONGEST = 20
 REACH = 3
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+\s*")
 _WORDS = re.compile(r"\S+\s*")
 
 
-def _places(words: list[str]) -> list[int]:
-    """Where a long sentence is cut: numbers of the words that begin a piece. Gaps next to an end have too few neighbours to tell."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _places(sentences: list[list[str]], table: WordHash) -> list[list[int]]:
+    """Where each of some long sentences is cut: numbers of the words that begin a piece. Gaps next to an end have too few neighbours to
+    tell. All are looked at together: a window that crosses from one sentence into the next is never asked."""
+    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+    h = hash_words([w for s in sentences for w in s], table)
     gap = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    if len(gap) <= 2 * REACH:
-        return []
-    n = len(gap) - 2 * REACH
-    least = gap[:n]
-    for k in range(1, 2 * REACH + 1):
-        least = np.minimum(least, gap[k : k + n])
-    return (np.flatnonzero(gap[REACH : REACH + n] == least) + REACH + 1).tolist()
+    least = gap.copy()
+    for k in range(1, REACH + 1):
+        np.minimum(least[k:], gap[:-k], out=least[k:])
+        np.minimum(least[:-k], gap[k:], out=least[:-k])
+    first = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(sizes)), sizes)[:-1]
+    place = np.arange(len(gap)) - first[own]
+    at = np.flatnonzero((gap == least) & (place >= REACH) & (place < sizes[own] - 1 - REACH))
+    out: list[list[int]] = [[] for _ in sentences]
+    for k, p in zip(own[at].tolist(), (place[at] + 1).tolist(), strict=True):
+        out[k].append(p)
+    return out
 
 
-def sentences(text: str, longest: int = LONGEST) -> list[str]:
-    """The text in pieces, each with the white space after it; joined they give the text."""
-    out, at = [], 0
-    for m in _CUT.finditer(text):
-        out.append(text[at : m.end()])
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    if any(len(s) > 2 * longest for s in out):
-        cut = []
-        for s in out:
+def cut(texts: list[str], longest: int = LONGEST, table: WordHash | None = None) -> list[list[str]]:
+    """Each text in pieces with the white space after them; joined they give the text."""
+    out, where, long = [], [], []
+    for k, text in enumerate(texts):
+        own, at = [], 0
+        for m in _CUT.finditer(text):
+            own.append(text[at : m.end()])
+            at = m.end()
+        if at < len(text):
+            own.append(text[at:])
+        for j, s in enumerate(own):
             if len(s) > 2 * longest and len(bare := s.split()) > longest:
+                where.append((k, j))
+                long.append(bare)
+        out.append(own)
+    if long:
+        pieces: dict[int, dict[int, list[str]]] = {}
+        for (k, j), places in zip(where, _places(long, WordHash() if table is None else table), strict=True):
+            if places:
+                s = out[k][j]
                 words = _WORDS.findall(s)
-                lead = s[: len(s) - sum(map(len, words))]
-                words[0] = lead + words[0]
-                at = [0, *_places(bare), len(words)]
-                cut += ["".join(words[a:b]) for a, b in itertools.pairwise(at)]
-            else:
-                cut.append(s)
-        out = cut
+                words[0] = s[: len(s) - sum(map(len, words))] + words[0]
+                pieces.setdefault(k, {})[j] = ["".join(words[a:b]) for a, b in itertools.pairwise([0, *places, len(words)])]
+        for k, by in pieces.items():
+            out[k] = [p for j, s in enumerate(out[k]) for p in by.get(j, (s,))]
     return out
 
 
-def runs(parts: list[str], n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shortest runs from each sentence on and up to each sentence: hash, first sentence, length in sentences."""
-    count = len(parts)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(s.strip()) for s in parts), np.uint64, count)
-    total = np.concatenate([[0], np.cumsum(np.fromiter((len(s.split()) for s in parts), np.int64, count))])
+def sentences(text: str, longest: int = LONGEST) -> list[str]:
+    return cut([text], longest)[0]
+
+
+def runs(parts: list[list[str]], n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs from each sentence on and up to each sentence of some texts: hash, first sentence, length in sentences; and
+    how many runs each text has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    last = np.cumsum(sizes)
+    first = last - sizes
+    count = int(sizes.sum())
+    h = np.fromiter((xxhash.xxh3_64_intdigest(s.strip()) for p in parts for s in p), np.uint64, count)
+    total = np.concatenate([[0], np.cumsum(np.fromiter((len(s.split()) for p in parts for s in p), np.int64, count))])
     at = np.arange(count)
+    own = np.repeat(np.arange(len(parts)), sizes)
     end = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), at + n)
     start = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, at + 1 - n)
-    both = np.unique(np.concatenate([(at * (count + 1) + end)[end <= count], (start * (count + 1) + at + 1)[start >= 0]]))
+    both = np.unique(np.concatenate([(at * (count + 1) + end)[end <= last[own]], (start * (count + 1) + at + 1)[start >= first[own]]]))
     at, length = both // (count + 1), both % (count + 1) - both // (count + 1)
     out = np.zeros(len(at), np.uint64)
     for k in range(int(length.max(initial=0))):
         live = length > k
         out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) + h[at[live] + k])
-    return out.view(np.int64), at.astype(np.int32), length.astype(np.int32)
+    own = own[at]
+    return out.view(np.int64), (at - first[own]).astype(np.int32), length.astype(np.int32), np.bincount(own, minlength=len(parts))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int) -> Iterator[pa.RecordBatch]:
+    table = WordHash()
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             rows = batch.slice(lo, 200)
-            got = [runs(sentences(t or "", longest), n, words) for t in rows.column(1).to_pylist()]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[k] for g in got]))) for k in range(3)] if got else []
-            if got:
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "th", "h", "at", "n"])
+            *got, sizes = runs(cut([t or "" for t in rows.column(1).to_pylist()], longest, table), n, words)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(g)) for g in got]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "th", "h", "at", "n"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    table = WordHash()
     for batch in batches:
         texts, cuts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         out, sizes = [], []
+        pieces = iter(cut([t for t, spans in zip(texts, cuts, strict=True) if spans], longest, table))
         for text, spans in zip(texts, cuts, strict=True):
             if not spans:
                 out.append(text)
                 sizes.append(0)
                 continue
-            parts = sentences(text, longest)
+            parts = next(pieces)
             gone = np.zeros(len(parts) + 1, np.int64)
             for s in spans:
                 gone[s["at"]] += 1
