@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to a Python worker; bounds a worker's memory.
+#: Rows and bytes in an Arrow batch handed to a Python worker; they bound a worker's memory.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,15 +31,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def arrow_bounds(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for workers that hold a few batches of long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keeps Arrow batches small enough for workers that hold a few batches of long texts. Spark reads these settings when a plan
+    runs, so they are the session's; smaller ones of the caller's stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a session on one machine (master local) that has
+    none gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         got = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
@@ -50,6 +53,8 @@ _OWN: dict[str, str] = {}
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="loglake-")

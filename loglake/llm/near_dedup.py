@@ -20,7 +20,7 @@ emitted, and no partner is dropped for its bucket's size. A bucket in which m me
 m * m / 2 sketch comparisons of 512 bytes, spread over tasks by blocks; that is the price of losing no link. Full sets
 go to a task once per pair, a pivot's once per ``HUB`` of its pairs.
 
-Results for odd input: null and empty texts, and white space, have no shingle, are linked with nothing and kept; rows with
+Results for odd input: null and empty texts, and white space, have no shingle, are linked with nothing and kept; ties between equal texts go to the smallest doc_id; rows with
 the same doc_id and text are one document; with the same doc_id but other texts, the document's texts are linked;
 a null ``doc_id`` is linked with nothing, has a null component and is kept; an empty table gives no rows.
 """
