@@ -51,8 +51,7 @@ def test_encoding_equals_tokenizers(corpus):
     from loglake.llm.encoding import ChunkEncoder
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [t or "" for _, t in corpus] + ["a  b", " lead", "trail ", "x\n y", "x \ny", "tab\t z", "<|endoftext|> it's 'll", "　 a b  c", "a\x1cb \x85c", "\n\n a\n\n\nb  "]
+    texts = [t or "" for _, t in corpus] + ["a  b", " lead", "trail ", "x\n y", "x \ny", "tab\t z", "<|endoftext|> it's 'll", "x<|endoftext|>", "a <|endoftext|><|endoftext|> b  c", "<|endoftext", "long " + "z" * 500, "　 a b  c", "a\x1cb \x85c", "\n\n a\n\n\nb  "]
     enc = ChunkEncoder(most=50)
     for _ in range(2):
         for text, ids in zip(texts, enc.encode(texts), strict=True):
@@ -99,8 +98,8 @@ def test_decontamination(spark, docs, corpus):
     own = spark.createDataFrame([*((200 + k, t) for k, t in enumerate(texts)), (300, None), (None, items[4])], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(200, 0), (201, 1), (203, 8), (204, 9), (205, 3), (None, 4)}
-    for chars in (10**6, 100):  # in one block, and in several
-        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(own, bench, block_chars=chars).collect()}
+    for bits in (26, 6):  # with a filter that lets little through, and one that lets nearly all
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(own, bench, filter_bits=bits).collect()}
         assert got == want
     kept = {r.doc_id for r in decontaminate.remove_contaminated(own, bench).collect()}
     assert kept == {i for i, _ in corpus} | {202, 300}
@@ -108,6 +107,48 @@ def test_decontamination(spark, docs, corpus):
     assert decontaminate.contaminated(own, bench.where("false")).count() == 0
 
 
+def brute_contaminated(docs, items):
+    """Every alignment of every item with every document, word by word."""
+    strip = decontaminate._STRIP
+    norm = lambda t: [w for w in (x.lower().strip(strip) for x in (t or "").split()) if w]
+    out = set()
+    for i, t in docs:
+        d = norm(t)
+        for j, u in items:
+            x = norm(u)
+            size = min(13, len(x))
+            for a in range(len(x) - size + 1 if x else 0):
+                for b in range(len(d) - size + 1):
+                    if 5 * sum(p == q for p, q in zip(x[a : a + size], d[b : b + size], strict=True)) >= 4 * size:
+                        out.add((i, j))
+    return out
+
+
+def test_decontamination_with_substitutions_against_brute_force(spark):
+    """Every allowed pattern of substituted words in items of 5 to 12 words is found, and patterns in longer ones; others aren't."""
+    rng = np.random.default_rng(31)
+    items = [(n, " ".join(f"q{n}w{k}" for k in range(n))) for n in [*range(1, 13), 14, 20, 40]] + [(90, "same word " * 10), (90, "same word " * 10)]
+    docs = []
+    for n, text in items[:12]:
+        allowed = n - -(-4 * n // 5)
+        for pattern in itertools.chain(itertools.combinations(range(n), allowed), list(itertools.combinations(range(n), allowed + 1))[:5]):
+            w = [x if k not in pattern else f"other{k}" for k, x in enumerate(text.split())]
+            docs.append((len(docs), " ".join(["lead", *w, "tail"])))
+    for _, text in items[12:]:
+        for _ in range(20):
+            w = text.split()
+            for k in rng.integers(0, len(w), int(rng.integers(0, 4))):
+                w[int(k)] = "other"
+            docs.append((len(docs), "it " * int(rng.integers(0, 5)) + " ".join(w)))
+    df = spark.createDataFrame([*docs, docs[3], (None, docs[40][1]), (5000, docs[50][1])], "doc_id long, text string").repartition(3)
+    rows = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {(r.doc_id, r.item_id) for r in rows}, brute_contaminated([*docs, (None, docs[40][1]), (5000, docs[50][1])], items)
+    assert len(rows) == len(got) and got <= want
+    assert {x for x in got if x[1] < 13} == {x for x in want if x[1] < 13}
+    assert len(got) >= 0.98 * len(want)  # of 13 words on, the masks lose a rare pair of substitutions
+    assert all(0 <= r.first_word <= r.last_word and r.matched <= r.compared <= 13 for r in rows)
+
+
 def brute_lines(rows, words):
     """Positions in all repeated runs: every (start, length), the slow way."""
     docs = sorted({((i is not None, i), t) for i, t in rows if t}, key=lambda x: (x[0][0], x[0][1] or 0, x[1]))
@@ -131,6 +172,7 @@ def line_corpus():
     rng = np.random.default_rng(3)
     pool = [prose(rng, int(n)) for n in rng.integers(1, 9, 14)]
     rows = [(k, "\n".join(pool[j] for j in rng.integers(0, 14, int(rng.integers(1, 25))))) for k in range(40)]
+    rows += [(60, "one\r\ntwo\r\nthree\r\n" * 3), (61, "\tone\r\n\ttwo\r\n\tthree\r\n" * 3), (62, "\x0ba b\x0c\n c\td \r\n"), (63, "\x0ba b\x0c\n c\td \r\n")]
     rows += [(50, "same line here\n" * 40), (51, rows[3][1]), (51, rows[3][1]), (52, None), (53, ""), (54, "\n\n \n"), (None, rows[5][1]), (55, rows[5][1] + "\n\n" + rows[6][1])]
     return rows
 
@@ -307,7 +349,6 @@ def test_token_counts(spark, docs, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for pattern in (r"\n", r"[.!?]", r"..."):
         got = collections.defaultdict(list)
         for r in token_counts.count_tokens(docs.where("doc_id is not null and doc_id not in (107)"), pattern).collect():
@@ -336,7 +377,7 @@ def brute_spans(rows):
         assert "".join(parts) == t
         gone = set()
         for a in range(len(parts)):
-            for b in range(a + sentence_spans.SENTENCES, min(a + 12, len(parts)) + 1):
+            for b in range(a + sentence_spans.SENTENCES, min(a + 30, len(parts)) + 1):
                 if sum(len(p.split()) for p in parts[a:b]) >= sentence_spans.WORDS:
                     key = tuple(p.strip() for p in parts[a:b])
                     if key in seen:
