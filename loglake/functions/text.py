@@ -51,10 +51,10 @@ def parse_tier_key(key: str) -> Column:
 
 
 def topic_spec(spec: str) -> Column:
-    """``name:partitions``; one partition if there is no number, null if it isn't one."""
-    at = F.size(F.split(F.col(spec), ":"))
-    n = F.expr(f"try_cast(get(split({spec}, ':'), 1) AS int)")
-    return F.struct(F.expr(f"split({spec}, ':')[0]").alias("name"), F.when(at == 1, 1).when((at == 2) & (n >= 1), n).alias("partitions"))
+    """``name:partitions``, cut at the first colon; one partition if there is no number after it, or none above 0."""
+    rest = f"CASE WHEN locate(':', {spec}) > 0 THEN substring({spec}, locate(':', {spec}) + 1) END"
+    n = F.expr(f"CASE WHEN ({rest}) RLIKE '^-?[0-9]+$' THEN try_cast({rest} AS int) END")
+    return F.struct(F.expr(f"substring_index({spec}, ':', 1)").alias("name"), F.when(n >= 1, n).otherwise(1).alias("partitions"))
 
 
 def escape_label(value: Column) -> Column:
@@ -80,6 +80,22 @@ def query_param(url: str, name: str) -> Column:
     return F.expr(f"try_parse_url({url}, 'QUERY', '{name}')")
 
 
+#: Rows of a page, unless the query says otherwise, and at most.
+PAGE_SIZE, LARGEST_PAGE = 20, 100
+
+
+def pagination(query: str) -> Column:
+    """page and size that a query string (``k=v&k2=v2``) asks for, and an error instead if one isn't a number in its range. The first of
+    repeated parameters counts."""
+    first = lambda key: f"regexp_extract({query}, '(?:^|&){key}=([^&]*)', 1)"
+    there = lambda key: f"{query} RLIKE '(?:^|&){key}='"
+    number = lambda key: f"CASE WHEN {first(key)} RLIKE '^[0-9]+$' THEN try_cast({first(key)} AS bigint) END"
+    value = lambda key, default: f"CASE WHEN {there(key)} THEN {number(key)} ELSE {default} END"
+    page, size = value("page", 1), value("size", PAGE_SIZE)
+    error = f"CASE WHEN coalesce({page}, 0) < 1 OR coalesce({size}, 0) NOT BETWEEN 1 AND {LARGEST_PAGE} THEN 'InvalidArgument' END"
+    return F.expr(f"CASE WHEN ({error}) IS NULL THEN struct({page} AS page, {size} AS size, cast(null AS string) AS error) ELSE struct(cast(null AS bigint) AS page, cast(null AS bigint) AS size, {error} AS error) END")
+
+
 def request_line(line: str) -> Column:
     """Method, path and query of an HTTP request line; null if malformed."""
     pattern = r"^([A-Z]+) ([^ ?]+)(?:\?([^ ]*))? HTTP/1\.[01]$"

@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 
 #: Longest topic name, and what one may hold.
 NAME = "^[A-Za-z0-9._-]{1,249}$"
-#: Error names, whether a client may retry, and the HTTP status they map to.
-ERRORS = [
-    ("None", False, 200),
-    ("Unknown", False, 500),
-    ("CorruptMessage", True, 400),
-    ("UnknownTopicOrPartition", True, 404),
-    ("NotLeader", True, 503),
-    ("RequestTimedOut", True, 504),
-    ("OffsetOutOfRange", False, 416),
-    ("InvalidArgument", False, 400),
-    ("AlreadyExists", False, 409),
-    ("Fenced", False, 409),
+#: Wire errors, whether a client may retry, and the core error they stand for.
+WIRE_ERRORS = [
+    ("None", False, "InvalidArgument"),
+    ("UnknownTopicOrPartition", False, "NotFound"),
+    ("OffsetOutOfRange", False, "OutOfRange"),
+    ("CorruptMessage", False, "Corrupt"),
+    ("MessageTooLarge", False, "InvalidArgument"),
+    ("OutOfOrderSequence", False, "OutOfRange"),
+    ("DuplicateSequence", False, "OutOfRange"),
+    ("UnsupportedVersion", False, "Unsupported"),
+    ("Unauthorized", False, "InvalidArgument"),
+    ("InvalidRequest", False, "InvalidArgument"),
+    ("InvalidProducerEpoch", False, "Fenced"),
+    ("NotLeaderForPartition", True, "IoError"),
+    ("LeaderNotAvailable", True, "IoError"),
+    ("RequestTimedOut", True, "IoError"),
+    ("NotEnoughReplicas", True, "IoError"),
+    ("Throttled", True, "IoError"),
+    ("RebalanceInProgress", True, "IoError"),
+]
+#: Core errors, the wire error that reports them, and their HTTP status.
+CORE_ERRORS = [
+    ("InvalidArgument", "InvalidRequest", 400),
+    ("OutOfRange", "OffsetOutOfRange", 400),
+    ("NotFound", "UnknownTopicOrPartition", 404),
+    ("Unsupported", "UnsupportedVersion", 501),
+    ("OutOfSpace", "LeaderNotAvailable", 507),
+    ("Shutdown", "LeaderNotAvailable", 503),
+    ("Fenced", "InvalidProducerEpoch", 409),
+    ("Corrupt", "CorruptMessage", 500),
+    ("IoError", "LeaderNotAvailable", 500),
 ]
 
 
@@ -63,8 +82,14 @@ def ready(probes: DataFrame) -> DataFrame:
     return probes.groupBy("node").agg(F.bool_and("healthy").alias("ready"))
 
 
-def error_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ERRORS, "error string, retryable boolean, http int")
+def wire_errors(spark: SparkSession) -> DataFrame:
+    """Wire errors with their core error and its HTTP status."""
+    wire = spark.createDataFrame(WIRE_ERRORS, "error string, retryable boolean, core string")
+    return wire.join(core_errors(spark).select("core", "http"), "core").select("error", "retryable", "core", "http")
+
+
+def core_errors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CORE_ERRORS, "core string, wire string, http int")
 
 
 def negotiate(df: DataFrame, low: int, high: int, asked: str = "max_version") -> DataFrame:

@@ -33,9 +33,10 @@ def sessions(beats: DataFrame, on: list[str], ts_micros: str, timeout_micros: in
 
 
 def page(df: DataFrame, order: list[str], number: int = 1, size: int = 20) -> DataFrame:
-    """Page ``number`` (from 1) of at most 100 rows a page."""
-    size = min(max(size, 1), 100)
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    """Page ``number`` (from 1) of at most 100 rows a page; one past the end is empty. Other numbers and sizes are refused."""
+    if number < 1 or not 1 <= size <= 100:
+        raise ValueError("page from 1 on, size from 1 to 100")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
 #: Group states.

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from loglake.model import PLACE
+from loglake.operators.folds import scan
 
 _OWNER = [*PLACE, "producer_id"]
 
@@ -13,24 +15,28 @@ _OWNER = [*PLACE, "producer_id"]
 def classify(batches: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Adds ``verdict`` (Accept, Duplicate, Gap, Fenced) to batches (producer_epoch, base_sequence, record_count).
 
-    A rejected batch changes nothing for those after it, so no window frame can tell: an ordered fold per partition and
-    producer over four integers a batch, with built-in functions. The first batch's epoch is known before it is checked.
+    A rejected batch changes nothing for those after it, so no window frame can tell: an ordered fold per partition and producer that
+    carries two numbers. The first batch's epoch is known before it is checked. Batches that arrive at once are taken by epoch, sequence
+    and count.
     """
-    item = F.struct(F.col(arrival).cast("long").alias("a"), F.col("producer_epoch").cast("int").alias("e"), F.col("base_sequence").cast("long").alias("s"), F.col("record_count").cast("long").alias("n"))
-    grouped = batches.where("producer_id >= 0").groupBy(*_OWNER).agg(F.array_sort(F.collect_list(item)).alias("_b"))
-    check = """CASE WHEN x.e < st.e THEN 'Fenced'
-                    WHEN x.e > st.e THEN CASE WHEN x.s = 0 THEN 'Accept' ELSE 'Gap' END
-                    WHEN x.s = st.last + 1 THEN 'Accept'
-                    WHEN x.s > st.last + 1 THEN 'Gap'
-                    WHEN x.s + x.n - 1 <= st.last THEN 'Duplicate'
-                    ELSE 'Gap' END"""
-    fold = f"""aggregate(_b, struct(_b[0].e AS e, -1L AS last, cast(array() AS array<string>) AS got),
-      (st, x) -> CASE WHEN ({check}) = 'Accept' THEN struct(x.e AS e, x.s + x.n - 1 AS last, concat(st.got, array('Accept')) AS got)
-                 ELSE struct(st.e AS e, st.last AS last, concat(st.got, array({check})) AS got) END, st -> st.got)"""
-    out = grouped.withColumn("_v", F.expr(fold)).select(*_OWNER, F.explode(F.arrays_zip(F.col("_b").alias("b"), F.col("_v").alias("v"))).alias("_x"))
-    out = out.select(*_OWNER, F.col("_x.b.a").alias(arrival), F.col("_x.v").alias("verdict"))
-    plain = batches.where("producer_id < 0").withColumn("verdict", F.lit("Accept"))
-    return batches.where("producer_id >= 0").join(out, [*_OWNER, arrival]).unionByName(plain)
+
+    def step(state, epoch, first, count):
+        known, last = state or (epoch, -1)
+        verdict = judge(known, last, epoch, first, count)
+        return ((epoch, first + count - 1) if verdict == "Accept" else (known, last)), (verdict,)
+
+    rest = ["producer_epoch", "base_sequence", "record_count"]
+    checked = scan(batches.where("producer_id >= 0"), _OWNER, [arrival, *rest], rest, step, [StructField("verdict", StringType())])
+    return checked.unionByName(batches.where("producer_id < 0 or producer_id is null").withColumn("verdict", F.lit("Accept")))
+
+
+def judge(known: int, last: int, epoch: int, first: int, count: int) -> str:
+    """A batch of an epoch, from sequence ``first`` on, against a producer's known epoch and last accepted sequence."""
+    if epoch != known:
+        return "Fenced" if epoch < known else "Accept" if first == 0 else "Gap"
+    if first == last + 1:
+        return "Accept"
+    return "Duplicate" if first + count - 1 <= last else "Gap"
 
 
 def produce(batches: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -66,14 +72,8 @@ def fenced(batches: DataFrame, arrival: str = "arrival") -> DataFrame:
 def check(state: dict | None, row: dict) -> tuple[dict, str]:
     """One batch (epoch, base_sequence, count) against its producer's state: the step form of ``classify``, for streams."""
     s = dict(state or {"epoch": row["epoch"], "last": -1})
-    first, last = row["base_sequence"], row["base_sequence"] + row["count"] - 1
-    if row["epoch"] < s["epoch"]:
-        return s, "Fenced"
-    if row["epoch"] > s["epoch"]:
-        return ({"epoch": row["epoch"], "last": last}, "Accept") if first == 0 else (s, "Gap")
-    if first == s["last"] + 1:
-        return {**s, "last": last}, "Accept"
-    return s, "Duplicate" if first <= s["last"] and last <= s["last"] else "Gap"
+    verdict = judge(s["epoch"], s["last"], row["epoch"], row["base_sequence"], row["count"])
+    return ({"epoch": row["epoch"], "last": row["base_sequence"] + row["count"] - 1} if verdict == "Accept" else s), verdict
 
 
 def resend_step(state: dict | None, row: dict) -> tuple[dict, str]:

@@ -11,14 +11,17 @@ from loglake.model import PLACE
 def commit_index(replicas: DataFrame) -> DataFrame:
     """The greatest index that a majority of voters has (match_index), if its entry is of the current term; learners don't vote.
 
-    Columns entry_term and current_term are optional.
+    Columns entry_term and current_term are optional; so is known_commit, the index so far, which never falls.
     """
     checked = {"entry_term", "current_term"} <= set(replicas.columns)
     item = F.struct("match_index", *(["entry_term", "current_term"] if checked else []))
-    out = replicas.where("is_voter").groupBy(*PLACE).agg(F.sort_array(F.collect_list(item), asc=False).alias("_m"))
+    known = "known_commit" in replicas.columns
+    kept = [F.max("known_commit").alias("_known")] if known else []
+    out = replicas.where("is_voter").groupBy(*PLACE).agg(F.sort_array(F.collect_list(item), asc=False).alias("_m"), *kept)
     out = out.withColumn("_q", F.expr("_m[size(_m) div 2]"))
     index = F.col("_q.match_index")
-    return out.select(*PLACE, (F.when(F.col("_q.entry_term") == F.col("_q.current_term"), index) if checked else index).cast("long").alias("commit_index"))
+    index = F.when(F.col("_q.entry_term") == F.col("_q.current_term"), index) if checked else index
+    return out.select(*PLACE, (F.greatest(index, "_known") if known else index).cast("long").alias("commit_index"))
 
 
 def follower_lag(replicas: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def read_from(log: DataFrame, offset: int | Column, upto: DataFrame | None = Non
     else:
         out = log.where(F.col("offset") >= offset)
     if upto is not None:
-        out = out.join(F.broadcast(upto.select(*PLACE, "high_watermark")), PLACE).where("offset < high_watermark").drop("high_watermark")
+        out = out.join(upto.select(*PLACE, "high_watermark"), PLACE).where("offset < high_watermark").drop("high_watermark")
     return out
 
 
@@ -39,10 +39,20 @@ def out_of_range(requests: DataFrame, marks: DataFrame) -> DataFrame:
     return out.withColumn("error", error)
 
 
+def fetch_outcomes(requests: DataFrame, marks: DataFrame, protocol: str = "native") -> DataFrame:
+    """Fetch requests (topic, partition, fetch_offset) with error_code, high_watermark and log_start (null if rejected). ``marks`` has the
+    partitions' watermarks and the protocol that wrote them (null: none yet)."""
+    out = requests.join(marks, PLACE, "left")
+    error = F.when(F.col("log_end").isNull(), "UnknownTopicOrPartition").when(F.col("protocol") != protocol, "InvalidRequest").when(F.col("fetch_offset") < F.col("log_start"), "OffsetOutOfRange").otherwise("None")
+    out = out.withColumn("error_code", error)
+    seen = lambda c: F.when(F.col("error_code") == "None", F.col(c)).alias(c)
+    return out.select(*requests.columns, "error_code", seen("high_watermark"), seen("log_start"))
+
+
 def byte_budget(log: DataFrame, requests: DataFrame) -> DataFrame:
     """Batches that each request (topic, partition, fetch_offset, max_bytes) gets: those whose predecessors since the offset have
     fewer than max_bytes bytes, so the last one may overshoot. Batches are small rows; record payloads aren't shuffled."""
-    found = batches(log).join(F.broadcast(requests), PLACE).where("last_offset >= fetch_offset")
+    found = batches(log).join(requests, PLACE).where("last_offset >= fetch_offset")
     before = Window.partitionBy(*PLACE, "fetch_offset", "max_bytes").orderBy("base_offset").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("bytes_before", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long")).where("bytes_before < max_bytes")
 

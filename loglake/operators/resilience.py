@@ -24,25 +24,32 @@ def token_bucket(state: dict | None, op: dict, rate: float, burst: float) -> tup
     return s, False
 
 
-def circuit_breaker(state: dict | None, op: dict, window: int = 20, least: int = 10, ratio: float = 0.5, open_micros: int = 5_000_000, probes: int = 1) -> tuple[dict, str]:
-    """Closed until failures among the last ``window`` results reach ``ratio``; open for a while; half-open until ``probes`` succeed."""
-    s = dict(state or {"state": "Closed", "last": [], "opened": 0, "good": 0})
+def circuit_breaker(state: dict | None, op: dict, window: int = 20, least: int = 10, ratio: float = 0.5, open_micros: int = 5_000_000, probes: int = 3) -> tuple[dict, str]:
+    """Closed until a failure brings those among the last ``window`` results to ``ratio`` of ``least`` or more; open for a while; half-open for
+    ``probes`` calls, closed if all succeed, open again at the first failure.
+
+    An op is a call with its result at once; or, with ``kind``, ``allow`` (may a call begin?) and its ``result`` later, so that calls are in flight.
+    """
+    s = dict(state or {"state": "Closed", "last": [], "opened": 0, "issued": 0, "good": 0})
     s["last"] = list(s["last"])
-    if s["state"] == "Open":
-        if op["now"] - s["opened"] < open_micros:
+    kind = op.get("kind", "call")
+    if kind != "result":
+        if s["state"] == "Open" and op["now"] - s["opened"] >= open_micros:
+            s.update(state="HalfOpen", issued=0, good=0)
+        if s["state"] == "Open" or (s["state"] == "HalfOpen" and s["issued"] >= probes):
             return s, "rejected"
-        s.update(state="HalfOpen", good=0)
-    if s["state"] == "HalfOpen":
-        if op["failed"]:
-            s.update(state="Open", opened=op["now"], last=[])
-        else:
-            s["good"] += 1
-            if s["good"] >= probes:
-                s.update(state="Closed", last=[])
-        return s, s["state"]
-    s["last"] = [*s["last"], bool(op["failed"])][-window:]
-    if len(s["last"]) >= least and sum(s["last"]) / len(s["last"]) >= ratio:
-        s.update(state="Open", opened=op["now"], last=[])
+        s["issued"] += s["state"] == "HalfOpen"
+        if kind == "allow":
+            return s, "allowed"
+    if s["state"] == "HalfOpen" and not op["failed"]:
+        s["good"] += 1
+        if s["good"] >= probes:
+            s.update(state="Closed", last=[])
+    elif s["state"] == "Closed":
+        s["last"] = [*s["last"], bool(op["failed"])][-window:]
+    full = len(s["last"]) >= least and sum(s["last"]) / len(s["last"]) >= ratio
+    if op["failed"] and (s["state"] == "HalfOpen" or (s["state"] == "Closed" and full)):
+        s.update(state="Open", opened=op["now"])
     return s, s["state"]
 
 

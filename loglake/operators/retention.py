@@ -27,7 +27,7 @@ def retain(segments: DataFrame, retention_bytes: int = -1, retention_micros: int
 def retain_by_topic(segments: DataFrame, policies: DataFrame, now_micros: int) -> DataFrame:
     """Like ``retain`` with each topic's own limits (topic, retention_bytes, retention_micros; null: no limit)."""
     order = Window.partitionBy(*PLACE).orderBy("base_offset")
-    s = segments.join(F.broadcast(policies), "topic", "left")
+    s = segments.join(policies, "topic", "left")
     s = s.withColumn("_left", F.sum("bytes").over(Window.partitionBy(*PLACE).orderBy(F.col("base_offset").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     active = F.lead("base_offset").over(order).isNull()
     may = F.coalesce(F.col("_left") > F.col("retention_bytes"), F.lit(False)) | F.coalesce(F.lit(now_micros) - F.col("mtime") > F.col("retention_micros"), F.lit(False))

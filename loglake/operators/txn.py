@@ -42,7 +42,7 @@ def read_committed(log: DataFrame, lso: DataFrame) -> DataFrame:
     d = log.withColumn("_no", F.coalesce(F.sum(F.col("is_control").cast("long")).over(before), F.lit(0)))
     d = d.withColumn("_committed", F.max(F.coalesce(F.col("decision") == "COMMIT", F.lit(False))).over(whole))
     seen = F.col("_committed") | ~F.col("is_txn") if "is_txn" in log.columns else F.col("_committed")
-    d = d.where(~F.col("is_control") & seen).join(F.broadcast(lso.select(*PLACE, "lso")), PLACE).where("offset < lso")
+    d = d.where(~F.col("is_control") & seen).join(lso.select(*PLACE, "lso"), PLACE).where("offset < lso")
     return d.drop("_no", "_committed", "lso")
 
 
@@ -53,10 +53,11 @@ def drop_aborted(batches: DataFrame, ranges: DataFrame) -> DataFrame:
     return batches.where(~F.col("is_control")).join(r, on, "left_anti")
 
 
-def timed_out(activity: DataFrame, on: list[str], ts_micros: str, limit_micros: int) -> DataFrame:
-    """Transactions idle for longer than the limit before their next activity: ``idle_micros``."""
+def timed_out(activity: DataFrame, on: list[str], ts_micros: str, limit_micros: int, now_micros: int | None = None) -> DataFrame:
+    """Transactions idle for longer than the limit before their next activity, or until now for the last one: ``idle_micros``."""
     w = Window.partitionBy(*on).orderBy(ts_micros, *[c for c in activity.columns if c not in (*on, ts_micros)])
-    return activity.withColumn("idle_micros", F.lead(ts_micros).over(w) - F.col(ts_micros)).where(F.col("idle_micros") > limit_micros)
+    until = F.coalesce(F.lead(ts_micros).over(w), F.lit(now_micros).cast("long"))
+    return activity.withColumn("idle_micros", until - F.col(ts_micros)).where(F.col("idle_micros") > limit_micros)
 
 
 def participants(added: DataFrame) -> DataFrame:
@@ -70,6 +71,33 @@ def pending_markers(decided: DataFrame, acked: DataFrame) -> DataFrame:
     return want.join(acked, ["transactional_id", "txn_no", "topic", "partition"], "left_anti")
 
 
+def control_batches(decided: DataFrame) -> DataFrame:
+    """A control batch for each participant of decided transactions (producer_id, producer_epoch, decision, coordinator_epoch, participants):
+    topic, partition, attrs, record_count, and the marker's key (version, type) and value (version, coordinator epoch), big endian."""
+    out = decided.select("producer_id", "producer_epoch", "decision", "coordinator_epoch", F.explode("participants").alias("_p"))
+    word = lambda c, n: F.unhex(F.substring(F.lpad(F.hex(c.cast("long")), 16, "0"), 17 - 2 * n, 2 * n))
+    kind = (F.col("decision") == "COMMIT").cast("int")
+    return out.select(
+        "_p.topic", "_p.partition", "producer_id", "producer_epoch", F.lit(TRANSACTIONAL | CONTROL).alias("attrs"), F.lit(1).alias("record_count"),
+        F.concat(word(F.lit(MARKER_VERSION), 2), word(kind, 2)).alias("key"), F.concat(word(F.lit(MARKER_VERSION), 2), word(F.col("coordinator_epoch"), 4)).alias("value"),
+    )
+
+
+def parse_markers(batches: DataFrame) -> DataFrame:
+    """Adds decision, coordinator_epoch and error (null, InvalidArgument, Corrupt or Unsupported) to batches (attrs, record_count, key, value)."""
+    number = lambda c, at, n: F.conv(F.hex(F.substring(c, at, n)), 16, 10).cast("long")
+    is_control = (F.col("attrs").bitwiseAND(CONTROL) != 0) & (F.col("record_count") == 1) & F.col("key").isNotNull() & F.col("value").isNotNull()
+    whole = (F.length("key") == 4) & (F.length("value") == 6)
+    known = (number("key", 1, 2) == MARKER_VERSION) & (number("value", 1, 2) == MARKER_VERSION)
+    kind = number("key", 3, 2)
+    error = F.when(~is_control, "InvalidArgument").when(~whole, "Corrupt").when(~known, "Unsupported").when(kind > 1, "Corrupt")
+    out = batches.withColumn("error", error)
+    seen = lambda c: F.when(F.col("error").isNull(), c)
+    epoch = number("value", 3, 4)
+    epoch = F.when(epoch >= 1 << 31, epoch - (1 << 32)).otherwise(epoch)
+    return out.withColumn("decision", seen(F.when(kind == 1, "COMMIT").otherwise("ABORT"))).withColumn("coordinator_epoch", seen(epoch).cast("int"))
+
+
 def fence(markers: DataFrame, on: list[str], order: str, epoch: str = "coordinator_epoch") -> DataFrame:
     """Markers not older than the newest coordinator seen before them."""
     w = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +107,8 @@ def fence(markers: DataFrame, on: list[str], order: str, epoch: str = "coordinat
 #: States and the largest producer epoch.
 ONGOING, PREPARE_COMMIT, PREPARE_ABORT, COMPLETE_COMMIT, COMPLETE_ABORT, EMPTY = "Ongoing", "PrepareCommit", "PrepareAbort", "CompleteCommit", "CompleteAbort", "Empty"
 MAX_EPOCH = 32767
+#: Attribute bits of transactional and control batches, version of markers.
+TRANSACTIONAL, CONTROL, MARKER_VERSION = 0x0010, 0x0020, 0
 
 
 def coordinate(state: dict | None, op: dict) -> tuple[dict, str]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField
 
 from loglake.model import PLACE, assign_offsets
+from loglake.operators.folds import scan
 
 #: Header names of dead letters, in order.
 DEAD_LETTER_HEADERS = ["x-dlq-topic", "x-dlq-partition", "x-dlq-offset", "x-dlq-error", "x-dlq-attempts"]
@@ -15,35 +18,34 @@ def append(df: DataFrame, arrival: str, ends: DataFrame | None = None) -> DataFr
     """Assigns offsets to new records in arrival order, after each partition's ``log_end`` (ends: topic, partition, log_end)."""
     if ends is None:
         return assign_offsets(df, arrival)
-    out = df.join(F.broadcast(ends.select(*PLACE, F.col("log_end").alias("_end"))), PLACE, "left")
+    out = df.join(ends.select(*PLACE, F.col("log_end").alias("_end")), PLACE, "left")
     return assign_offsets(out, arrival, start=F.coalesce(F.col("_end"), F.lit(0))).drop("_end")
 
 
 def greedy_segments(parts: DataFrame, limit: int, on: list[str] = PLACE, order: str = "base_offset", size: str = "bytes") -> DataFrame:
     """Segment number of each part in order: a new segment begins where the current one has ``limit`` bytes or more.
 
-    The running size restarts with each segment, which no window frame can express: an ordered fold over a partition's
-    batch headers (two numbers each).
+    The running size restarts with each segment, which no window frame can express: an ordered fold over batch headers.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    folded = parts.groupBy(*on).agg(rows.alias("_rows"))
-    sizes = "transform(_rows, x -> x.s)"
-    starts = f"""aggregate({sizes}, struct(array(0L) AS cuts, 0L AS used, 0L AS n),
-      (a, s) -> struct(CASE WHEN a.used >= {limit} THEN concat(a.cuts, array(a.n)) ELSE a.cuts END AS cuts,
-                       CASE WHEN a.used >= {limit} THEN s ELSE a.used + s END AS used, a.n + 1L AS n), a -> a.cuts)"""
-    cut = folded.withColumn("_cuts", F.expr(starts))
-    seg = cut.select(*on, "_rows", F.posexplode("_cuts").alias("segment", "_lo"), F.col("_cuts")).withColumn("_hi", F.expr("coalesce(get(_cuts, segment + 1), cast(size(_rows) AS bigint))"))
-    out = seg.select(*on, F.col("segment").cast("long").alias("segment"), F.explode(F.expr("slice(_rows, cast(_lo AS int) + 1, cast(_hi - _lo AS int))")).alias("_x"))
-    return out.select(*on, F.col("_x.o").alias(order), "segment")
+
+    def step(state, bytes_):
+        n, used = state or (0, 0)
+        n, used = (n + 1, bytes_) if used >= limit else (n, used + bytes_)
+        return (n, used), (n,)
+
+    heads = parts.select(*on, order, F.col(size).cast("long").alias("_size"))
+    return scan(heads, on, [order], ["_size"], step, [StructField("segment", LongType())]).drop("_size")
 
 
 def index_anchors(parts: DataFrame, interval: int, on: list[str] = PLACE, order: str = "base_offset", size: str = "bytes") -> DataFrame:
     """Sparse index: an anchor at each batch that comes after ``interval`` bytes or more since the last anchor (with 0, at every batch)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    fold = f"""aggregate(_rows, struct(cast(array() AS array<bigint>) AS got, 0L AS since),
-      (a, x) -> CASE WHEN a.since >= {interval} THEN struct(concat(a.got, array(x.o)) AS got, x.s AS since)
-                ELSE struct(a.got AS got, a.since + x.s AS since) END, a -> a.got)"""
-    return parts.groupBy(*on).agg(rows.alias("_rows")).select(*on, F.explode(F.expr(fold)).alias("anchor"))
+
+    def step(since, bytes_):
+        hit = since >= interval if since is not None else interval == 0
+        return (bytes_ if hit else (since or 0) + bytes_), (hit,)
+
+    heads = parts.select(*on, F.col(order).alias("anchor"), F.col(size).cast("long").alias("_size"))
+    return scan(heads, on, ["anchor"], ["_size"], step, [StructField("_hit", BooleanType())]).where("_hit").select(*on, "anchor")
 
 
 def dead_letters(failed: DataFrame, target: str, error: Column, attempts: Column) -> DataFrame:
@@ -53,6 +55,22 @@ def dead_letters(failed: DataFrame, target: str, error: Column, attempts: Column
     return failed.withColumn("headers", F.concat("headers", new)).withColumn("topic", F.lit(target))
 
 
+def produce_outcomes(requests: DataFrame, catalog: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Produce requests (topic, partition, ``arrival``, valid, protocol, record_count) with error_code and base_offset (null if rejected).
+
+    In this order: a partition that ``catalog`` (topic, partition, log_end) doesn't have, a batch that doesn't decode, and one whose protocol isn't
+    the one that the partition's first valid write claimed. Accepted batches follow one another from log_end on.
+    """
+    before = Window.partitionBy(*PLACE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+    known = catalog.select(*PLACE, F.col("log_end").alias("_end"))
+    out = requests.join(known, PLACE, "left").withColumn("_owner", F.first(F.when(F.col("valid"), F.col("protocol")), ignorenulls=True).over(before))
+    error = F.when(F.col("_end").isNull(), "UnknownTopicOrPartition").when(~F.col("valid"), "CorruptMessage").when(F.col("protocol") != F.col("_owner"), "InvalidRequest").otherwise("None")
+    out = out.withColumn("error_code", error)
+    size = F.when(F.col("error_code") == "None", F.col("record_count")).otherwise(0)
+    end = F.col("_end") + F.sum(size).over(before)
+    return out.withColumn("base_offset", F.when(F.col("error_code") == "None", end - F.col("record_count")).cast("long")).drop("_end", "_owner")
+
+
 def truncate_suffix(log: DataFrame, offset: int) -> DataFrame:
     """Drops batches that begin at or after ``offset``."""
     return log.where(F.col("base_offset") < offset)

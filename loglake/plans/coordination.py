@@ -76,6 +76,13 @@ def quorum_commit_term(spark, d):
     return Q.commit_index(r)
 
 
+@query(f"""{REPLICAS}, q AS (SELECT topic, "partition", list_reverse_sort(list(match_index))[CAST(count(*) // 2 + 1 AS INTEGER)] AS m FROM r WHERE is_voter GROUP BY "partition", topic) SELECT topic, "partition", CAST(greatest(m, CASE WHEN "partition" % 2 = 0 THEN m + 40 ELSE m - 40 END) AS BIGINT) AS commit_index FROM q""")
+def quorum_commit_advance(spark, d):
+    r = _replicas(spark, d)
+    now = Q.commit_index(r).select(*PLACE, F.expr("CASE WHEN partition % 2 = 0 THEN commit_index + 40 ELSE commit_index - 40 END").alias("known_commit"))
+    return Q.commit_index(r.join(now, PLACE))
+
+
 @query(f"""{REPLICAS} SELECT topic, "partition", node, match_index, max(match_index) OVER (PARTITION BY "partition") AS last_index, max(match_index) OVER (PARTITION BY "partition") - match_index AS lag FROM r""")
 def follower_lag(spark, d):
     return Q.follower_lag(_replicas(spark, d)).select(*PLACE, "node", "match_index", "last_index", "lag")

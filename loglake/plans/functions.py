@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loglake.functions import hashes as H
 from loglake.functions import text as T
 from loglake.model import LOG_SQL, event_log, table
-from loglake.operators.catalog import error_table, valid_name
+from loglake.operators.catalog import CORE_ERRORS, WIRE_ERRORS, core_errors, valid_name, wire_errors
 from loglake.operators.compact import compact
 from loglake.plans.book import Book
 from loglake.plans.logs import COMPACT
@@ -70,12 +70,27 @@ def segment_names(spark, d):
     return u.withColumn("base_offset", T.parse_tier_key("key")["base_offset"])
 
 
-@query("SELECT DISTINCT event_type || ':' || (user_id % 5) AS spec, event_type AS name, CAST(CASE WHEN user_id % 5 >= 1 THEN user_id % 5 END AS INTEGER) AS partitions FROM events")
+_SPECS = """SELECT DISTINCT event_type || CASE user_id % 8 WHEN 0 THEN '' WHEN 1 THEN ':' WHEN 2 THEN ':x' WHEN 3 THEN ':3x' WHEN 4 THEN ':0' WHEN 5 THEN ':-2' WHEN 6 THEN ':4:5' ELSE ':' || user_id END AS spec, event_type AS name, user_id FROM events"""
+
+
+@query(f"SELECT DISTINCT spec, name, CAST(CASE WHEN user_id % 8 = 7 THEN user_id ELSE 1 END AS INTEGER) AS partitions FROM ({_SPECS})")
 def topic_spec_parse(spark, d):
-    e = table(spark, d, "events").select(F.concat("event_type", F.lit(":"), F.pmod("user_id", F.lit(5))).alias("spec")).distinct()
+    tail = F.expr("CASE user_id % 8 WHEN 0 THEN '' WHEN 1 THEN ':' WHEN 2 THEN ':x' WHEN 3 THEN ':3x' WHEN 4 THEN ':0' WHEN 5 THEN ':-2' WHEN 6 THEN ':4:5' ELSE ':' || user_id END")
+    e = table(spark, d, "events").select(F.concat("event_type", tail).alias("spec")).distinct()
     return e.withColumn("t", T.topic_spec("spec")).select("spec", "t.name", "t.partitions")
 
 
+_PAGES = "CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'page=' || user_id WHEN 2 THEN 'size=' || user_id WHEN 3 THEN 'page=2&size=100' WHEN 4 THEN 'page=0' WHEN 5 THEN 'x=1&page=7x' WHEN 6 THEN 'size=101' WHEN 7 THEN 'page=' WHEN 8 THEN 'page=3&page=4' ELSE 'mypage=9&size=5' END"
+
+
+@query(f"""WITH q AS (SELECT event_id, user_id, {_PAGES} AS query FROM events), a AS (SELECT *, event_id % 10 AS k FROM q),
+    b AS (SELECT *, CASE WHEN k IN (4, 5, 6, 7) OR (k = 1 AND user_id < 1) OR (k = 2 AND user_id NOT BETWEEN 1 AND 100) THEN 'InvalidArgument' END AS error FROM a)
+    SELECT event_id, query, CAST(CASE WHEN error IS NULL THEN CASE k WHEN 1 THEN user_id WHEN 3 THEN 2 WHEN 8 THEN 3 ELSE 1 END END AS BIGINT) AS page, CAST(CASE WHEN error IS NULL THEN CASE k WHEN 2 THEN user_id WHEN 3 THEN 100 WHEN 9 THEN 5 ELSE 20 END END AS BIGINT) AS size, error FROM b""")
+def pagination_checked(spark, d):
+    e = table(spark, d, "events").select("event_id", F.expr(_PAGES).alias("query"))
+    return e.withColumn("p", T.pagination("query")).select("event_id", "query", "p.page", "p.size", "p.error")
+
+
 @query("SELECT p_name, regexp_full_match(p_name, '[A-Za-z0-9._-]{1,249}') AND p_name NOT IN ('.', '..') AS valid FROM part")
 def topic_name_validate(spark, d):
     return table(spark, d, "part").select("p_name", valid_name("p_name").alias("valid"))
@@ -115,10 +130,29 @@ def batch_attributes(spark, d):
     return e.select("event_id", F.expr("attrs & 3").alias("codec"), F.expr("(attrs & 16) <> 0").alias("txn"), F.expr("(attrs & 32) <> 0").alias("control"))
 
 
-@query("SELECT event_type, CASE event_type WHEN 'error' THEN 'Fenced' ELSE 'None' END AS error, CASE event_type WHEN 'error' THEN 409 ELSE 200 END AS http, false AS retryable, count(*) AS n FROM events GROUP BY ALL")
+_RETRY = "'NotLeaderForPartition', 'LeaderNotAvailable', 'RequestTimedOut', 'NotEnoughReplicas', 'Throttled', 'RebalanceInProgress'"
+_WIRE = ", ".join(f"('{name}')" for name, _, _ in WIRE_ERRORS)
+_CORE = ", ".join(f"('{name}')" for name, _, _ in CORE_ERRORS)
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_WIRE}) v(error)), e AS (SELECT event_id % 17 AS k, count(*) AS n FROM events GROUP BY ALL),
+    c AS (SELECT w.error, n, CASE WHEN error = 'UnknownTopicOrPartition' THEN 'NotFound' WHEN error IN ('OffsetOutOfRange', 'OutOfOrderSequence', 'DuplicateSequence') THEN 'OutOfRange' WHEN error = 'CorruptMessage' THEN 'Corrupt'
+      WHEN error = 'UnsupportedVersion' THEN 'Unsupported' WHEN error = 'InvalidProducerEpoch' THEN 'Fenced' WHEN error IN ({_RETRY}) THEN 'IoError' ELSE 'InvalidArgument' END AS core FROM e JOIN w ON w.k = e.k)
+    SELECT error, error IN ({_RETRY}) AS retryable, core, CAST(CASE core WHEN 'NotFound' THEN 404 WHEN 'Unsupported' THEN 501 WHEN 'Fenced' THEN 409 WHEN 'Corrupt' THEN 500 WHEN 'IoError' THEN 500 ELSE 400 END AS INTEGER) AS http, n FROM c""")
 def error_classify(spark, d):
-    e = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("error", F.when(F.col("event_type") == "error", "Fenced").otherwise("None"))
-    return e.join(F.broadcast(error_table(spark)), "error").select("event_type", "error", "http", "retryable", "n")
+    names = F.array(*(F.lit(name) for name, _, _ in WIRE_ERRORS))
+    e = table(spark, d, "events").groupBy(F.element_at(names, (F.col("event_id") % 17).cast("int") + 1).alias("error")).agg(F.count("*").alias("n"))
+    return e.join(wire_errors(spark), "error").select("error", "retryable", "core", "http", "n")
+
+
+@query(f"""WITH c AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_CORE}) v(core))
+    SELECT event_id, core, CASE core WHEN 'Corrupt' THEN 'CorruptMessage' WHEN 'OutOfRange' THEN 'OffsetOutOfRange' WHEN 'NotFound' THEN 'UnknownTopicOrPartition' WHEN 'Unsupported' THEN 'UnsupportedVersion' WHEN 'InvalidArgument' THEN 'InvalidRequest'
+      WHEN 'Fenced' THEN 'InvalidProducerEpoch' ELSE 'LeaderNotAvailable' END AS wire, CAST(CASE core WHEN 'InvalidArgument' THEN 400 WHEN 'OutOfRange' THEN 400 WHEN 'NotFound' THEN 404 WHEN 'Unsupported' THEN 501 WHEN 'OutOfSpace' THEN 507 WHEN 'Shutdown' THEN 503 WHEN 'Fenced' THEN 409 ELSE 500 END AS INTEGER) AS http
+    FROM events JOIN c ON c.k = event_id % 9""")
+def error_from_core(spark, d):
+    names = F.array(*(F.lit(name) for name, _, _ in CORE_ERRORS))
+    e = table(spark, d, "events").select("event_id", F.element_at(names, (F.col("event_id") % 9).cast("int") + 1).alias("core"))
+    return e.join(core_errors(spark), "core").select("event_id", "core", "wire", "http")
 
 
 @query()

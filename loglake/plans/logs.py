@@ -8,6 +8,7 @@ from loglake.model import BATCH_SQL, LOG_SQL, PLACE, batches, event_log, micros
 from loglake.operators import compact as C
 from loglake.operators import idempotent as I
 from loglake.operators import read as R
+from loglake.operators import resilience
 from loglake.operators import retention as T
 from loglake.operators import txn as X
 from loglake.operators import write as W
@@ -101,7 +102,7 @@ def torn_tail_prefix(spark, d):
 def tier_cold_prefix(spark, d):
     segments = event_log(spark, d).where("offset % 200 = 0").select("partition", F.col("offset").alias("base_offset"))
     last = segments.groupBy("partition").agg((F.max("base_offset") - 200).alias("_keep"))
-    local = segments.join(F.broadcast(last), "partition").where("base_offset >= _keep").drop("_keep")
+    local = segments.join(last, "partition").where("base_offset >= _keep").drop("_keep")
     return R.cold_prefix(segments, local, ["partition", "base_offset"])
 
 
@@ -222,11 +223,11 @@ def aborted_range_antijoin(spark, d):
     return X.drop_aborted(log.withColumn("base_offset", F.col("offset")), X.aborted(X.transactions(log))).select(*PLACE, "offset")
 
 
-@query(f"""{WITH}, u AS (SELECT "partition", producer_id, arrival, epoch_us(ts) AS us FROM log), g AS (SELECT *, lead(us) OVER (PARTITION BY producer_id ORDER BY us, "partition", arrival) - us AS idle_micros FROM u)
+@query(f"""{WITH}, u AS (SELECT "partition", producer_id, arrival, epoch_us(ts) AS us FROM log), g AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY producer_id ORDER BY us, "partition", arrival), 1706659200000000) - us AS idle_micros FROM u)
     SELECT producer_id, arrival, CAST(idle_micros AS BIGINT) AS idle_micros FROM g WHERE idle_micros > 18000000000""")
 def txn_timeout(spark, d):
     act = event_log(spark, d).select("producer_id", micros("ts").alias("us"), "partition", "arrival")
-    return X.timed_out(act, ["producer_id"], "us", 18_000_000_000).select("producer_id", "arrival", F.col("idle_micros").cast("long").alias("idle_micros"))
+    return X.timed_out(act, ["producer_id"], "us", 18_000_000_000, _NOW).select("producer_id", "arrival", F.col("idle_micros").cast("long").alias("idle_micros"))
 
 
 @query("""SELECT CAST(user_id % 15 AS VARCHAR) AS transactional_id, CAST(event_id // 500 AS BIGINT) AS txn_no, array_to_string(list_sort(list_distinct(list('events-' || (user_id % 4)))), ',') AS participants FROM events GROUP BY ALL""")
@@ -273,6 +274,95 @@ def idempotent_produce(spark, d):
     return I.produce(_sent(spark, d)).select(*PLACE, "arrival", "last_offset")
 
 
+#: Sends of three epochs per producer: each counts its own from 0; some come again, skip ahead or bear an older epoch.
+_MIXED = f"""{WITH}, e AS (SELECT topic, "partition", producer_id, arrival, CAST(arrival // 300 % 3 AS INTEGER) AS epoch FROM log),
+    s AS (SELECT *, row_number() OVER (PARTITION BY "partition", producer_id, epoch ORDER BY arrival) - 1 AS n, row_number() OVER (PARTITION BY "partition", producer_id ORDER BY arrival) AS k FROM e),
+    b AS (SELECT topic, "partition", producer_id, arrival, k, CAST(CASE WHEN arrival % 13 = 5 THEN greatest(epoch - 1, 0) ELSE epoch END AS INTEGER) AS producer_epoch,
+      CAST(greatest(0, CASE WHEN arrival % 11 = 3 THEN 2 * n + 4 WHEN arrival % 7 = 2 THEN 2 * n - 2 WHEN arrival % 17 = 4 THEN 2 * n - 1 ELSE 2 * n END) AS BIGINT) AS base_sequence, 2 AS record_count FROM s)"""
+
+
+def _mixed(spark, d):
+    from pyspark.sql import Window
+
+    e = event_log(spark, d).select(*PLACE, "producer_id", "arrival", F.expr("cast(arrival div 300 % 3 AS int)").alias("epoch"))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("partition", "producer_id", "epoch").orderBy("arrival")) - 1)
+    sequence = "greatest(0, CASE WHEN arrival % 11 = 3 THEN 2 * n + 4 WHEN arrival % 7 = 2 THEN 2 * n - 2 WHEN arrival % 17 = 4 THEN 2 * n - 1 ELSE 2 * n END)"
+    epoch = "CASE WHEN arrival % 13 = 5 THEN greatest(epoch - 1, 0) ELSE epoch END"
+    return e.select(*PLACE, "producer_id", "arrival", F.expr(epoch).cast("int").alias("producer_epoch"), F.expr(sequence).cast("long").alias("base_sequence"), F.lit(2).alias("record_count"))
+
+
+_VERDICT = """CASE WHEN b.producer_epoch < f.e THEN 'Fenced' WHEN b.producer_epoch > f.e THEN CASE WHEN b.base_sequence = 0 THEN 'Accept' ELSE 'Gap' END
+      WHEN b.base_sequence = f.l + 1 THEN 'Accept' WHEN b.base_sequence > f.l + 1 THEN 'Gap' WHEN b.base_sequence + 1 <= f.l THEN 'Duplicate' ELSE 'Gap' END"""
+
+
+@query(f"""{_MIXED.replace("WITH", "WITH RECURSIVE", 1)}, f AS (SELECT "partition", producer_id, CAST(0 AS BIGINT) AS k, min_by(producer_epoch, k) AS e, CAST(-1 AS BIGINT) AS l, CAST(NULL AS VARCHAR) AS verdict FROM b GROUP BY ALL
+    UNION ALL SELECT b."partition", b.producer_id, b.k, CASE WHEN {_VERDICT} = 'Accept' THEN b.producer_epoch ELSE f.e END, CASE WHEN {_VERDICT} = 'Accept' THEN b.base_sequence + 1 ELSE f.l END, {_VERDICT}
+      FROM f JOIN b ON b."partition" = f."partition" AND b.producer_id = f.producer_id AND b.k = f.k + 1)
+    SELECT b.topic, b."partition", b.producer_id, b.arrival, verdict FROM f JOIN b ON b."partition" = f."partition" AND b.producer_id = f.producer_id AND b.k = f.k""")
+def idempotent_verdicts(spark, d):
+    return I.classify(_mixed(spark, d)).select(*PLACE, "producer_id", "arrival", "verdict")
+
+
+_ASKED = f"""{WITH}, r AS (SELECT CASE WHEN user_id % 9 = 0 THEN 'absent' ELSE topic END AS topic, "partition", arrival, arrival % 10 <> 3 AS valid, CASE WHEN arrival % 17 = 0 OR "partition" = 3 THEN 'compatible' ELSE 'native' END AS protocol, CAST(1 + arrival % 3 AS INTEGER) AS record_count FROM log)"""
+
+
+def _asked(spark, d):
+    return event_log(spark, d).select(
+        F.expr("CASE WHEN user_id % 9 = 0 THEN 'absent' ELSE topic END").alias("topic"), "partition", "arrival", F.expr("arrival % 10 <> 3").alias("valid"),
+        F.expr("CASE WHEN arrival % 17 = 0 OR partition = 3 THEN 'compatible' ELSE 'native' END").alias("protocol"), F.expr("cast(1 + arrival % 3 AS int)").alias("record_count"),
+    )
+
+
+@query(f"""{_ASKED}, o AS (SELECT *, (SELECT arg_min(protocol, arrival) FROM r c WHERE c.topic = r.topic AND c."partition" = r."partition" AND c.valid) AS owner FROM r),
+    e AS (SELECT *, CASE WHEN topic = 'absent' THEN 'UnknownTopicOrPartition' WHEN NOT valid THEN 'CorruptMessage' WHEN protocol <> owner THEN 'InvalidRequest' ELSE 'None' END AS error_code FROM o),
+    s AS (SELECT *, sum(CASE WHEN error_code = 'None' THEN record_count ELSE 0 END) OVER (PARTITION BY topic, "partition" ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+    SELECT topic, "partition", arrival, error_code, CAST(CASE WHEN error_code = 'None' THEN 1000 + upto - record_count END AS BIGINT) AS base_offset FROM s""")
+def produce_outcomes(spark, d):
+    catalog = spark.createDataFrame([("events", p, 1000) for p in range(4)], "topic string, partition int, log_end long")
+    return W.produce_outcomes(_asked(spark, d), catalog).select(*PLACE, "arrival", "error_code", "base_offset")
+
+
+@query(f"""{WITH}, m AS (SELECT "partition", min("offset") AS lo, max("offset") + 1 AS hi FROM log GROUP BY ALL), q AS (SELECT CAST(p AS INTEGER) AS p, o FROM range(5) a(p), (VALUES (-5), (0), (99999999)) b(o)),
+    e AS (SELECT q.*, lo, hi, CASE WHEN hi IS NULL THEN 'UnknownTopicOrPartition' WHEN p = 3 THEN 'InvalidRequest' WHEN o < lo THEN 'OffsetOutOfRange' ELSE 'None' END AS error_code FROM q LEFT JOIN m ON m."partition" = p)
+    SELECT 'events' AS topic, p AS "partition", CAST(o AS BIGINT) AS fetch_offset, error_code, CASE WHEN error_code = 'None' THEN hi END AS high_watermark, CASE WHEN error_code = 'None' THEN lo END AS log_start FROM e""")
+def fetch_outcomes(spark, d):
+    asked = spark.createDataFrame([("events", p, o) for p in range(5) for o in (-5, 0, 99999999)], "topic string, partition int, fetch_offset long")
+    marks = R.watermarks(event_log(spark, d)).withColumn("protocol", F.expr("CASE partition WHEN 3 THEN 'compatible' WHEN 2 THEN cast(null AS string) ELSE 'native' END"))
+    return R.fetch_outcomes(asked, marks)
+
+
+_DECIDED = """decided AS (SELECT user_id % 16 AS producer_id, CAST(event_id % 5 AS INTEGER) AS producer_epoch, CASE WHEN value >= 25 THEN 'COMMIT' ELSE 'ABORT' END AS decision, CAST(event_id * 7919 % 4294967296 - 2147483648 AS INTEGER) AS coordinator_epoch, event_id FROM events WHERE event_type = 'signup')"""
+
+
+@query(f"""WITH {_DECIDED} SELECT 'events' AS topic, CAST(p AS INTEGER) AS "partition", producer_id, producer_epoch, 48 AS attrs, 1 AS record_count, CASE decision WHEN 'COMMIT' THEN '00000001' ELSE '00000000' END AS key,
+    '0000' || upper(printf('%08x', (CAST(coordinator_epoch AS BIGINT) + 4294967296) % 4294967296)) AS value, decision, coordinator_epoch, CAST(NULL AS VARCHAR) AS error FROM decided, range(2) r(p)""")
+def control_batches(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'signup'")
+    decided = e.select(F.pmod("user_id", F.lit(16)).alias("producer_id"), F.expr("cast(event_id % 5 AS int)").alias("producer_epoch"), F.expr("CASE WHEN value >= 25 THEN 'COMMIT' ELSE 'ABORT' END").alias("decision"), F.expr("cast(event_id * 7919 % 4294967296 - 2147483648 AS int)").alias("coordinator_epoch"), F.expr("array(struct('events' AS topic, 0 AS partition), struct('events' AS topic, 1 AS partition))").alias("participants"))
+    return X.parse_markers(X.control_batches(decided)).withColumn("key", F.hex("key")).withColumn("value", F.hex("value"))
+
+
+@query(f"""{WITH}, b AS (SELECT "partition", "offset", CAST(CASE "offset" % 8 WHEN 0 THEN 16 ELSE 48 END AS INTEGER) AS attrs FROM log), e AS (SELECT *, CASE "offset" % 8 WHEN 0 THEN 'InvalidArgument' WHEN 1 THEN 'InvalidArgument' WHEN 2 THEN 'Corrupt' WHEN 3 THEN 'Unsupported' WHEN 4 THEN 'Corrupt' END AS error FROM b)
+    SELECT "partition", "offset", error, CASE WHEN error IS NULL THEN CASE WHEN "offset" % 8 = 5 THEN 'ABORT' ELSE 'COMMIT' END END AS decision, CAST(CASE WHEN error IS NULL THEN "offset" % 256 END AS INTEGER) AS coordinator_epoch FROM e""")
+def control_batch_parse(spark, d):
+    b = event_log(spark, d).select("partition", "offset", F.expr("CASE offset % 8 WHEN 0 THEN 16 ELSE 48 END").alias("attrs"), F.expr("CASE offset % 8 WHEN 1 THEN 2 ELSE 1 END").alias("record_count"))
+    key = "unhex(CASE offset % 8 WHEN 2 THEN '000000' WHEN 3 THEN '00010000' WHEN 4 THEN '00000002' WHEN 5 THEN '00000000' ELSE '00000001' END)"
+    b = b.withColumn("key", F.expr(key)).withColumn("value", F.expr("unhex('0000000000' || lpad(hex(offset % 256), 2, '0'))"))
+    return X.parse_markers(b).select("partition", "offset", "error", "decision", "coordinator_epoch")
+
+
+@query()
+def txn_coordinator_fold(spark, d):
+    from pyspark.sql import Window
+
+    kind = "CASE WHEN event_id < 40 OR event_id % 90 = 0 THEN 'init' ELSE CASE event_id % 9 WHEN 0 THEN 'begin' WHEN 1 THEN 'begin' WHEN 5 THEN 'commit' WHEN 6 THEN 'ack' WHEN 7 THEN 'abort' WHEN 8 THEN 'tick' ELSE 'add' END END"
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.expr("user_id % 5").alias("id"), "event_id", F.expr(kind).alias("op"), micros("ts").alias("now"), F.expr("array('events', cast(user_id % 2 AS string))").alias("part"), F.col("event_id").alias("new_id"), F.lit(3_600_000_000).alias("timeout"))
+    # requests bear the epoch of the latest init, some an older one
+    inits = F.sum((F.col("op") == "init").cast("int")).over(Window.partitionBy("id").orderBy("event_id"))
+    e = e.withColumn("epoch", (inits - 1 - (F.col("event_id") % 23 == 0).cast("int")).cast("int"))
+    return resilience.fold(e, ["id"], "event_id", X.coordinate, "string")
+
+
 _EPOCH = "CAST(((arrival * 37) % 101) // 20 AS INTEGER)"
 
 

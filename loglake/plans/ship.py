@@ -14,11 +14,12 @@ _DONE: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package as a zip, once per application, unless it is on the workers' path already."""
+    """Sends the package as a zip, once per application, unless workers run on this machine with this path (master local)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(loglake.__file__)))
     known = [os.path.realpath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
-    app = spark.sparkContext.applicationId
-    if os.path.realpath(root) in known or app in _DONE:
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    alone = master.startswith("local") and not master.startswith("local-cluster")
+    if app in _DONE or (alone and os.path.realpath(root) in known):
         return
     _DONE.add(app)
     path = os.path.join(tempfile.mkdtemp(prefix="loglake-"), "loglake.zip")

@@ -57,6 +57,44 @@ def test_transactions(spark):
     assert sorted(r.offset for r in got.collect()) == [20, 40]
 
 
+def test_circuit_breaker_rules():
+    """A success never opens it; too few results don't; probes in flight are limited; a late failure opens it again."""
+    step = lambda s, now, failed, **o: resilience.circuit_breaker(s, {"now": now, "failed": failed, **o})
+    s = None
+    for k in range(6):
+        s, r = step(s, k, True)
+    for k in range(4):
+        s, r = step(s, 6 + k, False)
+    assert r == "Closed"  # six of ten failed, but the tenth result is a success
+    s, r = step(s, 10, True)
+    assert r == "Open"
+    got = []
+    for k in range(4):
+        s, r = step(s, 6_000_000 + k, None, kind="allow")
+        got.append(r)
+    assert got == ["allowed"] * 3 + ["rejected"]
+    s, r = step(s, 6_000_100, False, kind="result")
+    assert r == "HalfOpen"
+    s, r = step(s, 6_000_200, True, kind="result")
+    assert r == "Open" and step(s, 6_000_300, None, kind="allow")[1] == "rejected"
+
+
+def test_folds_keep_rows_and_ties(spark):
+    rows = [("t", 0, 7, 0, s, 1, 5, "x") for s in (0, 1, 1, 3)] + [("t", 0, -1, 0, 0, 1, 5, "y"), ("t", 0, None, 0, 0, 1, 5, "z")]
+    df = spark.createDataFrame(rows, f"{PLACE}, producer_id long, producer_epoch int, base_sequence long, record_count int, arrival long, extra string")
+    got = sorted((r.extra, r.base_sequence, r.verdict) for r in idempotent.classify(df).collect())
+    assert got == [("x", 0, "Accept"), ("x", 1, "Accept"), ("x", 1, "Duplicate"), ("x", 3, "Gap"), ("y", 0, "Accept"), ("z", 0, "Accept")]
+    assert idempotent.classify(df.where("false")).count() == 0
+    parts = spark.createDataFrame([("t", 0, 10 * k, b) for k, b in enumerate((5, 5, 20, 1, 9, 10))], f"{PLACE}, base_offset long, bytes long")
+    assert [r.segment for r in write.greedy_segments(parts, 10).orderBy("base_offset").collect()] == [0, 0, 1, 2, 2, 3]
+    assert [r.anchor for r in write.index_anchors(parts, 10).orderBy("anchor").collect()] == [20, 30, 50]
+    assert write.index_anchors(parts, 0).count() == 6
+    act = spark.createDataFrame([(1, 0), (1, 50), (2, 0)], "id long, us long")
+    assert sorted(tuple(r) for r in txn.timed_out(act, ["id"], "us", 30, 100).collect()) == [(1, 0, 50), (1, 50, 50), (2, 0, 100)]
+    with pytest.raises(ValueError):
+        groups.page(act, ["id"], 1, 101)
+
+
 def test_idempotence_equals_replay(spark):
     rng = random.Random(4)
     rows = [("t", rng.randrange(2), rng.randrange(3), rng.randrange(3), rng.randrange(6), rng.randrange(1, 3), k) for k in range(600)]
@@ -179,7 +217,9 @@ def test_resilience(spark):
     for k in range(10):
         s, r = resilience.circuit_breaker(s, {"now": k, "failed": k % 2 == 0})
     assert r == "Open" and resilience.circuit_breaker(s, {"now": 11, "failed": False})[1] == "rejected"
-    assert resilience.circuit_breaker(s, {"now": 6_000_000, "failed": False})[1] == "Closed"
+    for n, want in enumerate(("HalfOpen", "HalfOpen", "Closed")):
+        t, r = resilience.circuit_breaker(s if n == 0 else t, {"now": 6_000_000 + n, "failed": False})
+        assert r == want
     assert resilience.circuit_breaker(s, {"now": 6_000_000, "failed": True})[1] == "Open"
     s, seen = None, []
     for failed in (True, True, True, False, False):
