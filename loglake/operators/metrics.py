@@ -19,6 +19,12 @@ def gauge(df: DataFrame, on: list[str], value: str, order: str) -> DataFrame:
     return df.groupBy(*on).agg(F.max(F.struct(F.col(order), F.col(value))).alias("_g")).select(*on, F.col(f"_g.{value}").alias(value))
 
 
+def gauge_changes(df: DataFrame, on: list[str], op: str, n: str) -> DataFrame:
+    """Value of each gauge that only inc and dec change; other operations change nothing."""
+    step = F.when(F.col(op) == "inc", F.col(n)).when(F.col(op) == "dec", -F.col(n)).otherwise(0)
+    return df.groupBy(*on).agg(F.sum(step).cast("long").alias("value"))
+
+
 def histogram(df: DataFrame, on: list[str], value: str, bounds: list[float] = BOUNDS) -> DataFrame:
     """Cumulative buckets: a row per series and bound (le; the last is Infinity) with count and sum of the series.
 
@@ -92,3 +98,31 @@ def render_prometheus(df: DataFrame) -> DataFrame:
     pair = lambda e: F.concat(e["key"], F.lit('="'), escape_label(e["value"]), F.lit('"'))
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), pair), ",")
     return df.select("name", F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), labels, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def format_double(v: Column) -> Column:
+    """The shortest text of a number; whole ones without a point."""
+    short = F.when((v == F.floor(v)) & (F.abs(v) < 1e15), F.floor(v).cast("string")).otherwise(v.cast("string"))
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").otherwise(short)
+
+
+def render_histograms(series: DataFrame, help_text: dict[str, str] | None = None) -> DataFrame:
+    """Text lines, with ``at`` to sort them by, of cumulative histograms (name, labels map, le, bucket, count, sum)."""
+    from loglake.functions.text import escape_label
+
+    pair = lambda e: F.concat(e["key"], F.lit('="'), escape_label(e["value"]), F.lit('"'))
+    own = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), pair), ",")
+    s = series.withColumn("_own", own)
+    braces = F.when(F.col("_own") == "", "").otherwise(F.concat(F.lit("{"), "_own", F.lit("}")))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    le = text(F.when(F.col("_own") == "", "").otherwise(F.concat("_own", F.lit(","))), 'le="', format_double(F.col("le")), '"')
+    at = lambda kind, *more: F.struct(F.col("name").alias("name"), F.lit(kind).alias("kind"), *more)
+    buckets = s.select(at(1, F.col("_own").alias("labels"), F.col("le").alias("le")).alias("at"), text(F.col("name"), "_bucket{", le, "} ", F.col("bucket").cast("string")).alias("line"))
+    once = s.where(F.col("le") == float("inf"))
+    sums = once.select(at(1, F.col("_own").alias("labels"), F.lit(float("nan")).alias("le")).alias("at"), text(F.col("name"), "_sum", braces, " ", format_double(F.col("sum")), "\n", F.col("name"), "_count", braces, " ", F.col("count").cast("string")).alias("line"))
+    sums = sums.select("at", F.explode(F.split("line", "\n")).alias("line"))
+    told = F.create_map(*(F.lit(x) for kv in (help_text or {}).items() for x in kv)) if help_text else F.lit(None).cast("map<string,string>")
+    head = s.select("name").distinct().withColumn("_help", F.element_at(told, F.col("name")))
+    lines = F.array_compact(F.array(F.when(F.col("_help").isNotNull(), text("# HELP ", F.col("name"), " ", F.col("_help"))), text("# TYPE ", F.col("name"), " histogram")))
+    head = head.select(at(0, F.lit("").alias("labels"), F.lit(0.0).alias("le")).alias("at"), F.explode(lines).alias("line"))
+    return head.unionByName(buckets).unionByName(sums)

@@ -60,3 +60,24 @@ def conflict(local: DataFrame, incoming: DataFrame) -> DataFrame:
 def may_vote(candidates: DataFrame) -> DataFrame:
     """Whether a candidate's log (last_term, last_index) is as new as the voter's (own_term, own_index)."""
     return candidates.withColumn("granted", F.expr("last_term > own_term OR (last_term = own_term AND last_index >= own_index)"))
+
+
+def backlog(state: DataFrame) -> DataFrame:
+    """Entries (last_index, commit_index) that aren't committed yet."""
+    return state.withColumn("uncommitted", F.greatest(F.col("last_index") - F.col("commit_index"), F.lit(0)).cast("long"))
+
+
+def compact_entries(entries: DataFrame, state: DataFrame, threshold: int) -> DataFrame:
+    """Entries (index, term) after the snapshot; it moves up to the commit index where that is ``threshold`` or more ahead (0: never)."""
+    ahead = (F.col("commit_index") > F.col("snapshot_index")) & (F.col("commit_index") - F.col("snapshot_index") >= threshold)
+    upto = F.when(ahead, F.col("commit_index")).otherwise(F.col("snapshot_index")) if threshold else F.col("snapshot_index")
+    return entries.join(state.select(*PLACE, upto.alias("_upto")), PLACE).where(F.col("index") > F.col("_upto")).drop("_upto")
+
+
+def append_entries(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The log after incoming entries (index, term): from the first that is new or of another term on, it is theirs."""
+    both = incoming.join(local.select(*PLACE, "index", F.col("term").alias("_own")), [*PLACE, "index"], "left")
+    cut = both.where(F.col("_own").isNull() | (F.col("_own") != F.col("term"))).groupBy(*PLACE).agg(F.min("index").alias("_cut"))
+    kept = local.join(cut, PLACE, "left").where(F.col("_cut").isNull() | (F.col("index") < F.col("_cut"))).select(*PLACE, "index", "term")
+    new = incoming.join(cut, PLACE).where(F.col("index") >= F.col("_cut")).select(*PLACE, "index", "term")
+    return kept.unionByName(new)

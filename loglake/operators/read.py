@@ -68,6 +68,13 @@ def floor_lookup(probes: DataFrame, anchors: DataFrame, on: list[str], probe: st
     return both.where("_side = 1").select(*on, "_row.*", anchor)
 
 
+def index_floor(probes: DataFrame, anchors: DataFrame, probe: str) -> DataFrame:
+    """Sparse index lookup: the greatest anchor (anchor, position) at or below each probe, (0, 0) where there is none."""
+    at = floor_lookup(probes, anchors.select(*PLACE, F.struct("anchor", "position").alias("_entry"), "anchor"), PLACE, probe, "anchor")
+    found = at.join(anchors.select(*PLACE, "anchor", "position"), [*PLACE, "anchor"], "left")
+    return found.withColumn("anchor", F.coalesce("anchor", F.lit(0)).cast("long")).withColumn("position", F.coalesce("position", F.lit(0)).cast("long"))
+
+
 def list_offsets(marks: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (topic, partition, timestamp): -2 asks for the start, anything else for the high-watermark."""
     found = requests.join(marks, PLACE, "left")

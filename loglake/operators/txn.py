@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglake.model import PLACE
@@ -46,6 +46,25 @@ def read_committed(log: DataFrame, lso: DataFrame) -> DataFrame:
     return d.drop("_no", "_committed", "lso")
 
 
+def visible(log: DataFrame, marks: DataFrame, isolation: str = "read_uncommitted") -> DataFrame:
+    """Data records as a reader of an isolation level sees them; no level delivers control records."""
+    if isolation == "read_committed":
+        return read_committed(log, last_stable_offset(transactions(log), marks))
+    if isolation != "read_uncommitted":
+        raise ValueError(isolation)
+    return log.where(~F.col("is_control"))
+
+
+def with_bit(attrs: str, bit: int, on: bool) -> Column:
+    """Attributes with a bit set or cleared."""
+    a = F.col(attrs).cast("int")
+    return a.bitwiseOR(bit) if on else a.bitwiseAND(~bit & 0xFFFF)
+
+
+def with_codec(attrs: str, codec: int) -> Column:
+    return F.col(attrs).cast("int").bitwiseAND(0xFFFC).bitwiseOR(codec)
+
+
 def drop_aborted(batches: DataFrame, ranges: DataFrame) -> DataFrame:
     """Batches outside every aborted range of their producer: a left anti-join on the producer with the range as its rest."""
     r = ranges.select(*(F.col(c).alias(f"_{c}") for c in (*_OWNER, "first_offset", "marker_offset")))

@@ -71,6 +71,26 @@ def produce_outcomes(requests: DataFrame, catalog: DataFrame, arrival: str = "ar
     return out.withColumn("base_offset", F.when(F.col("error_code") == "None", end - F.col("record_count")).cast("long")).drop("_end", "_owner")
 
 
+def records(df: DataFrame, key: str | None = None, value: str | None = None) -> DataFrame:
+    """Records to send from rows: a plain one has no key, a tombstone no value; headers are empty."""
+    given = lambda c: (F.col(c).cast("string").cast("binary") if c else F.lit(None).cast("binary"))
+    return df.withColumn("key", given(key)).withColumn("value", given(value)).withColumn("headers", F.expr("cast(array() AS array<struct<key:string,value:binary>>)"))
+
+
+def batch_deltas(df: DataFrame, batch: list[str], order: str) -> DataFrame:
+    """Offset deltas of a batch's records: their places in the order of insertion."""
+    return df.withColumn("delta", (F.row_number().over(Window.partitionBy(*batch).orderBy(order)) - 1).cast("long"))
+
+
+def reset(log: DataFrame, marks: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Empties the partitions of ``resets`` (topic, partition, base): the log that is left, and watermarks that begin and end at the base."""
+    to = resets.select(*PLACE, F.col("base").alias("_base"))
+    out = marks.join(to, PLACE, "left")
+    for c in ("log_start", "log_end", "high_watermark"):
+        out = out.withColumn(c, F.coalesce("_base", c))
+    return log.join(to, PLACE, "left_anti"), out.drop("_base")
+
+
 def truncate_suffix(log: DataFrame, offset: int) -> DataFrame:
     """Drops batches that begin at or after ``offset``."""
     return log.where(F.col("base_offset") < offset)

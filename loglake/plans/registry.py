@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.plans import coordination, functions, logs, metrics, relational, streams
+from loglake.plans import admin, coordination, functions, logs, metrics, relational, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (logs, coordination, metrics, functions, relational, streams):
+for module in (logs, coordination, metrics, functions, relational, streams, admin):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
 

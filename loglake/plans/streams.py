@@ -20,6 +20,13 @@ def stream_window_counts(spark, d):
     return out.select(F.datediff(F.col("start").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"), "event_type", "n")
 
 
+@query("""WITH w AS (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS day, event_type FROM events, range(2) r(k)), d AS (SELECT day, event_type, count(*) AS n FROM w GROUP BY ALL) SELECT CAST(date_diff('day', DATE '2024-01-01', day) AS INTEGER) AS day, event_type, n FROM d
+    WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sliding_counts(spark, d):
+    out = S.drain(S.window_counts(S.tail(spark, d, "events"), width="2 days", slide="1 day"))
+    return out.select(F.datediff(F.col("start").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"), "event_type", "n")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS \"offset\", arg_max(props, event_id) AS value FROM events GROUP BY ALL")
 def stream_compaction(spark, d):
     e = S.tail(spark, d, "events").select(F.lit("events").alias("topic"), F.lit(0).alias("partition"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("offset"), F.col("props").alias("value"))

@@ -24,10 +24,10 @@ def tail(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def window_counts(events: DataFrame, ts: str = "ts", width: str = "1 day", late: str = "1 hour", on: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts per tumbling window and key; events later than the watermark are dropped."""
+def window_counts(events: DataFrame, ts: str = "ts", width: str = "1 day", late: str = "1 hour", on: tuple[str, ...] = ("event_type",), slide: str | None = None) -> DataFrame:
+    """Counts per window (tumbling, or sliding by ``slide``) and key; events later than the watermark are dropped."""
     e = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    out = e.groupBy(F.window("_ts", width), *on).agg(F.count("*").alias("n"))
+    out = e.groupBy(F.window("_ts", width, slide), *on).agg(F.count("*").alias("n"))
     return out.select(F.col("window.start").alias("start"), *on, "n")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.functions import hashes, records
-from loglake.operators import compact, groups, idempotent, metrics, placement, quorum, read, resilience, retention, txn, write
+from loglake.operators import admin, compact, groups, idempotent, metrics, placement, quorum, read, resilience, retention, txn, write
 
 PLACE = "topic string, partition int"
 
@@ -79,6 +79,25 @@ def test_circuit_breaker_rules():
     assert r == "Open" and step(s, 6_000_300, None, kind="allow")[1] == "rejected"
 
 
+def test_admin_options_and_routes(spark):
+    got = admin.options(["--port", "7000", "--topic", "a:3", "--topic", "b", "--topic", "c:x", "--node-id", "oops", "--data-dir", "/d"])
+    assert (got.port, got.node_id, got.data_dir, got.topics) == (7000, 0, "/d", (("a", 3), ("b", 1), ("c", 1)))
+    for wrong in (["--port"], ["--nothing", "1"], ["port", "1"], ["--topics", "x"]):
+        with pytest.raises(ValueError):
+            admin.options(wrong)
+    with pytest.raises(LookupError):
+        admin.Admin(None, None, None, None, None).get("/nowhere")
+
+
+def test_histogram_text(spark):
+    df = spark.createDataFrame([("a\"b", 0.5), ("a\"b", 3.0), ("a\"b", 20.0)], "k string, v double")
+    h = metrics.histogram(df, ["k"], "v", [0.5, 10.0]).select(F.lit("h").alias("name"), F.create_map(F.lit("k"), F.col("k")).alias("labels"), "le", "bucket", "count", "sum")
+    label = 'k="a\\"b"'
+    want = ["# HELP h All.", "# TYPE h histogram", f'h_bucket{{{label},le="0.5"}} 1', f'h_bucket{{{label},le="10"}} 2', f'h_bucket{{{label},le="+Inf"}} 3', f"h_sum{{{label}}} 23.5", f"h_count{{{label}}} 3"]
+    got = [r.line for r in metrics.render_histograms(h, {"h": "All."}).orderBy("at", "line").collect()]
+    assert sorted(got) == sorted(want) and got[:2] == want[:2]
+
+
 def test_folds_keep_rows_and_ties(spark):
     rows = [("t", 0, 7, 0, s, 1, 5, "x") for s in (0, 1, 1, 3)] + [("t", 0, -1, 0, 0, 1, 5, "y"), ("t", 0, None, 0, 0, 1, 5, "z")]
     df = spark.createDataFrame(rows, f"{PLACE}, producer_id long, producer_epoch int, base_sequence long, record_count int, arrival long, extra string")
