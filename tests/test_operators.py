@@ -233,7 +233,7 @@ def test_resilience(spark):
         out.append(ok)
     assert out == [True, True, False, False, True]
     s = None
-    for k in range(10):
+    for k in range(11):  # the tenth result is a success, which opens nothing
         s, r = resilience.circuit_breaker(s, {"now": k, "failed": k % 2 == 0})
     assert r == "Open" and resilience.circuit_breaker(s, {"now": 11, "failed": False})[1] == "rejected"
     for n, want in enumerate(("HalfOpen", "HalfOpen", "Closed")):
