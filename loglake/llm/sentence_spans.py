@@ -5,9 +5,9 @@ A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, at li
 a cut depends on the words around it alone, so a passage is cut alike wherever it stands in whatever sentence; there is no
 greatest length, as that would count from the sentence's start. From each sentence on, and up to each sentence, the shortest run of consecutive sentences with
 at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (surrounding white space ignored). These runs cover every
-longer one. Runs are joined by hash over the
-whole corpus; the first is the one with the smallest (doc_id, place), and every sentence that a later one covers is
-removed.
+longer one. Runs are joined by two independent 64-bit hashes over the
+whole corpus (of a million million different runs, two share both with a probability of 1e-15); the first is the one with
+the smallest (doc_id, place), and every sentence that a later one covers is removed.
 
 Results for odd input: null text stays null, empty text stays empty; a text with too few sentences or words has no run;
 rows with the same doc_id and text are one document and get the same result; rows with a null ``doc_id`` count as
@@ -89,14 +89,14 @@ def sentences(text: str, longest: int = LONGEST) -> list[str]:
     return cut([text], longest)[0]
 
 
-def runs(parts: list[list[str]], n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shortest runs from each sentence on and up to each sentence of some texts: hash, first sentence, length in sentences; and
-    how many runs each text has."""
+def runs(parts: list[list[str]], n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs from each sentence on and up to each sentence of some texts: two hashes, first sentence, length in sentences;
+    and how many runs each text has."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     last = np.cumsum(sizes)
     first = last - sizes
     count = int(sizes.sum())
-    h = np.fromiter((xxhash.xxh3_64_intdigest(s.strip()) for p in parts for s in p), np.uint64, count)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.strip()) for p in parts for s in p), np.uint64).reshape(count, 2)
     total = np.concatenate([[0], np.cumsum(np.fromiter((len(s.split()) for p in parts for s in p), np.int64, count))])
     at = np.arange(count)
     own = np.repeat(np.arange(len(parts)), sizes)
@@ -104,12 +104,13 @@ def runs(parts: list[list[str]], n: int, words: int) -> tuple[np.ndarray, np.nda
     start = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, at + 1 - n)
     both = np.unique(np.concatenate([(at * (count + 1) + end)[end <= last[own]], (start * (count + 1) + at + 1)[start >= first[own]]]))
     at, length = both // (count + 1), both % (count + 1) - both // (count + 1)
-    out = np.zeros(len(at), np.uint64)
+    out = np.zeros((len(at), 2), np.uint64)
     for k in range(int(length.max(initial=0))):
         live = length > k
         out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) + h[at[live] + k])
     own = own[at]
-    return out.view(np.int64), (at - first[own]).astype(np.int32), length.astype(np.int32), np.bincount(own, minlength=len(parts))
+    out = np.ascontiguousarray(out.T).view(np.int64)
+    return out[0], out[1], (at - first[own]).astype(np.int32), length.astype(np.int32), np.bincount(own, minlength=len(parts))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int)
             *got, sizes = runs(cut([t or "" for t in rows.column(1).to_pylist()], longest, table), n, words)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(g)) for g in got]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "th", "h", "at", "n"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "th", "h", "h2", "at", "n"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
@@ -150,15 +151,15 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, words: int = WORDS, long
     scratch = scratch or Scratch(docs.sparkSession, "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    hashed = scratch.write(map_batches(rows, lambda b: _hashes(b, n, words, longest), "doc_id long, th long, h array<long>, at array<int>, n array<int>"), "hashes")
-    flat = hashed.select("doc_id", "th", F.explode(F.arrays_zip("h", "at", "n")).alias("x")).select("doc_id", "th", "x.h", "x.at", "x.n")
+    hashed = scratch.write(map_batches(rows, lambda b: _hashes(b, n, words, longest), "doc_id long, th long, h array<long>, h2 array<long>, at array<int>, n array<int>"), "hashes")
+    flat = hashed.select("doc_id", "th", F.explode(F.arrays_zip("h", "h2", "at", "n")).alias("x")).select("doc_id", "th", "x.h", "x.h2", "x.at", "x.n")
     place = F.struct(F.col("doc_id"), F.col("th"), F.col("at"))
     # a table joined with a table: only then does adaptive execution split a hash that many documents share
-    first = scratch.write(flat.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "repeated")
+    first = scratch.write(flat.groupBy("h", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h", "h2"), "repeated")
     # only places of hashes that occur twice go on, a small part of all
-    again = scratch.write(flat.join(first, "h"), "again")
-    first = scratch.write(again.groupBy("h").agg(F.min(place).alias("first")), "first")
-    return scratch.write(again.join(first, "h").where(place != F.col("first")).select("doc_id", "th", "at", "n", F.col("first.doc_id").alias("first_doc")), "later")
+    again = scratch.write(flat.join(first, ["h", "h2"]), "again")
+    first = scratch.write(again.groupBy("h", "h2").agg(F.min(place).alias("first")), "first")
+    return scratch.write(again.join(first, ["h", "h2"]).where(place != F.col("first")).select("doc_id", "th", "at", "n", F.col("first.doc_id").alias("first_doc")), "later")
 
 
 def dedup_spans(docs: DataFrame, n: int = SENTENCES, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
