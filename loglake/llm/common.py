@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,6 +110,19 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 200, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and ``most`` bytes of the text column numbered ``text`` (a longer text is alone)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).tolist()
+    lo = held = 0
+    for k, n in enumerate(sizes):
+        if k > lo and (k - lo == rows or held + n > most):
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += n
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
 class WordHash(dict):
     """word (bytes or str) -> int64; bounded, so that a worker's memory doesn't grow with the corpus."""
 

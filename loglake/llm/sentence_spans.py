@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import Scratch, WordHash, hash_words, load, map_batches, mix
+from loglake.llm.common import Scratch, WordHash, hash_words, load, map_batches, mix, slices
 
 SENTENCES = 3
 WORDS = 25
 LONGEST = 20
 REACH = 3
+#: Words whose hashes a worker remembers.
+KNOWN = 50_000
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+\s*")
 _WORDS = re.compile(r"\S+\s*")
 
@@ -114,10 +116,9 @@ def runs(parts: list[list[str]], n: int, words: int) -> tuple[np.ndarray, np.nda
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int) -> Iterator[pa.RecordBatch]:
-    table = WordHash()
+    table = WordHash(most=KNOWN)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            rows = batch.slice(lo, 200)
+        for rows in slices(batch, 1):
             *got, sizes = runs(cut([t or "" for t in rows.column(1).to_pylist()], longest, table), n, words)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(g)) for g in got]
@@ -125,8 +126,8 @@ def _hashes(batches: Iterator[pa.RecordBatch], n: int, words: int, longest: int)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    table = WordHash()
-    for batch in batches:
+    table = WordHash(most=KNOWN)
+    for batch in (rows for b in batches for rows in slices(b, 1)):
         texts, cuts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         out, sizes = [], []
         pieces = iter(cut([t for t, spans in zip(texts, cuts, strict=True) if spans], longest, table))
