@@ -1,6 +1,7 @@
 """Operators on small literal logs: each rule's cases, and step functions against literal replays."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,7 +307,7 @@ def test_records_round_trip_and_tampering():
         assert records.get_varint(records.put_varint(n), 0)[0] == n
     rows = [(None if rng.random() < 0.2 else rng.randbytes(rng.randrange(20)), None if rng.random() < 0.2 else rng.randbytes(rng.randrange(60)), [("h", None), ("h", b"x")][: rng.randrange(3)]) for _ in range(50)]
     encoded = [records.encode_record(k, v, h, ts_delta=-5, offset_delta=j) for j, (k, v, h) in enumerate(rows)]
-    for codec in ("none", "zstd"):
+    for codec in ("none", "lz4", "zstd"):
         raw = records.encode_batch(7, encoded, codec) + records.encode_batch(57, encoded, codec)
         found = records.scan_batches(raw)
         assert [h["base_offset"] for h, _ in found] == [7, 57]
@@ -334,6 +335,53 @@ def test_segments_as_files(spark, small, tmp_path):
     assert got == want
 
 
+def test_compressed_blocks():
+    data = b"abcd" * 5000 + random.Random(5).randbytes(300)
+    for codec in ("lz4", "zstd"):
+        for plain in (b"", b"x", data):
+            packed = records.compress(plain, codec)
+            assert packed[:4] == len(plain).to_bytes(4, "little") and records.decompress(packed, codec) == plain
+        packed = records.compress(data, codec)
+        size = len(data)
+        for bad in (packed[:3], packed[:-5], (size + 9).to_bytes(4, "little") + packed[4:], (size - 1).to_bytes(4, "little") + packed[4:], (records.MAX_BYTES + 1).to_bytes(4, "little") + packed[4:]):
+            with pytest.raises(ValueError):
+                records.decompress(bad, codec)
+    # a block written by hand: four literals, then a match of eight at a distance of four, then five literals
+    block = bytes([0x44]) + b"abcd" + bytes([4, 0, 0x50]) + b"vwxyz"
+    assert records.decompress(struct.pack("<I", 17) + block, "lz4") == b"abcdabcdabcdvwxyz"
+    with pytest.raises(ValueError):
+        records.decompress(data, "gzip")
+
+
+def test_segments_keep_the_envelope(spark, tmp_path):
+    from loglake.sources.logfile import read_segments, write_segments
+
+    schema = f"{PLACE}, offset long, base_offset long, key binary, value binary, is_txn boolean, is_control boolean, producer_id long, producer_epoch short, base_sequence int, ts_delta long"
+    rows = [("t", 0, 0, 0, b"a", b"x", True, False, 7, 1, 0, 0), ("t", 0, 1, 0, b"b", None, True, False, 7, 1, 0, 5), ("t", 0, 2, 2, None, b"m", True, True, 7, 1, -1, 0)]
+    rows += [("t", 0, 3, 3, b"c", b"y", None, None, None, None, None, None), ("t", 0, 4, 3, b"d", b"z", False, False, 8, 0, 4, 2), ("t", 1, 0, 0, b"a", b"x", False, False, 9, 2, 0, 0)]
+    path = str(tmp_path / "log")
+    write_segments(spark.createDataFrame(rows, schema), path, codec="lz4")
+    got = read_segments(spark, path).select("topic", "partition", "offset", "base_offset", "key", "value", "is_txn", "is_control", "producer_id", "producer_epoch", "base_sequence", "ts_delta")
+    want = [*rows[:3], (*rows[3][:6], False, False, -1, -1, -1, 0), (*rows[4][:3], 4, *rows[4][4:]), rows[5]]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1:3]) == want
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["t"]  # nothing of the job is left
+
+
+def test_a_failed_job_leaves_no_segment(tmp_path):
+    import pyarrow as pa
+
+    from loglake.sources.logfile import SegmentWriter
+
+    writer = SegmentWriter(str(tmp_path))
+    batch = pa.RecordBatch.from_pylist([{"topic": "t", "partition": 0, "base_offset": 5, "content": b"x"}])
+    one, two = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.abort([one, None])
+    assert list(tmp_path.iterdir()) == []
+    one, two = writer.write(iter([batch])), writer.write(iter([batch]))  # two attempts; the second is committed
+    writer.commit([two])
+    assert [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()] == ["t/0/00000000000000000005.log"]
+
+
 def test_dead_letters(spark):
     df = spark.createDataFrame([("orders", 3, 7, b"order-42", b"payload", [("orig", b"h")])], f"{PLACE}, offset long, key binary, value binary, headers array<struct<key:string,value:binary>>")
     r = write.dead_letters(df, "orders-dlq", F.lit("boom"), F.lit(5)).first()
