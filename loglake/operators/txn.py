@@ -66,10 +66,14 @@ def with_codec(attrs: str, codec: int) -> Column:
 
 
 def drop_aborted(batches: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Batches outside every aborted range of their producer: a left anti-join on the producer with the range as its rest."""
-    r = ranges.select(*(F.col(c).alias(f"_{c}") for c in (*_OWNER, "first_offset", "marker_offset")))
-    on = [F.col(c) == F.col(f"_{c}") for c in _OWNER] + [F.col("base_offset") >= F.col("_first_offset"), F.col("base_offset") < F.col("_marker_offset")]
-    return batches.where(~F.col("is_control")).join(r, on, "left_anti")
+    """Batches outside every aborted range of their producer; ranges may overlap. One union and one window, no range join: a batch
+    is aborted if the greatest marker of the ranges begun up to it lies above it. Nulls match no range."""
+    r = ranges.select(*_OWNER, F.col("first_offset").alias("_at"), F.col("marker_offset").alias("_until")).dropna()
+    b = batches.where(~F.col("is_control")).withColumn("_at", F.col("base_offset"))
+    begun = Window.partitionBy(*_OWNER).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = b.unionByName(r, allowMissingColumns=True).withColumn("_until", F.max("_until").over(begun))
+    # a range has no is_control, so it goes as well
+    return both.where(~F.col("is_control") & F.coalesce(F.col("_until") <= F.col("base_offset"), F.lit(True))).select(*batches.columns)
 
 
 def timed_out(activity: DataFrame, on: list[str], ts_micros: str, limit_micros: int, now_micros: int | None = None) -> DataFrame:

@@ -58,6 +58,22 @@ def test_transactions(spark):
     assert sorted(r.offset for r in got.collect()) == [20, 40]
 
 
+def test_drop_aborted_has_no_range_join(spark):
+    """Against brute force: overlapping, empty and repeated ranges, ties, nulls. A join would meet each batch of a producer with each of its ranges."""
+    rng = random.Random(5)
+    pick = lambda top: rng.choice([None, *range(top)] if rng.random() < 0.2 else range(top))
+    b = [(rng.choice(["t", "t", "u", None]), pick(2), pick(3), pick(40), rng.choice([False, False, True, None]), i) for i in range(600)]
+    r = [(rng.choice(["t", "t", "u", None]), pick(2), pick(3), (at := pick(40)), None if at is None else at + rng.choice([-1, 0, 1, 2, 9])) for _ in range(25)]
+    r += [("t", 0, 1, 12, None), ("t", 0, 2, 5, 35), ("t", 0, 2, 7, 9), ("t", 0, 2, 7, 9)]
+    hit = lambda x, y: None not in (*x[:4], *y) and x[:3] == y[:3] and y[3] <= x[3] < y[4]
+    want = [x for x in b if x[4] is False and not any(hit(x, y) for y in r)]
+    batches = spark.createDataFrame(b, "topic string, partition int, producer_id long, base_offset long, is_control boolean, id long")
+    got = txn.drop_aborted(batches, spark.createDataFrame(r, "topic string, partition int, producer_id long, first_offset long, marker_offset long"))
+    assert got.schema.names == batches.schema.names and sorted((tuple(x) for x in got.collect()), key=lambda x: x[5]) == want
+    assert 100 < len(want) < sum(x[4] is False for x in b) - 30
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_circuit_breaker_rules():
     """A success never opens it; too few results don't; probes in flight are limited; a late failure opens it again."""
     step = lambda s, now, failed, **o: resilience.circuit_breaker(s, {"now": now, "failed": failed, **o})
